@@ -44,29 +44,41 @@ def prefix_sum(df: DataFrame, keys: list[str], position: Column, id_cols: list[s
     return r.withColumn(out, F.col(out) + F.col(o)).drop(p, b, "__b2", o, *[f"__k_{k}" for k in keys])
 
 
-def previous_in_order(df: DataFrame, key: str, at: str, then: list[str], carry: list[str], prefix: str = "prev_", rows_a_part: int = 50_000) -> DataFrame:
-    """Adds prefix + c for each c of carry: its value in the row before, within key, in order of at (a timestamp) and then.
-
-    The time span of each key is cut into parts of about rows_a_part rows, if its rows came evenly; keys with fewer rows are
-    one part. Within a part the row before is found by a window; the first row of a part takes the last row of the part
-    before, from a table that has one row for each part. Rows with a null key or at should be taken out beforehand.
-    """
+def _in_parts(df: DataFrame, key: str, at: str, rows_a_part: int) -> DataFrame:
+    """Adds __us (at in microseconds) and __part: the time span of each key cut into parts of about rows_a_part rows, if they came evenly."""
     us = F.unix_micros(F.col(at))
     span = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.min(us).alias("__t0"), F.max(us).alias("__t1"))
-    d = df.withColumn("__us", us)
     big = span.where(F.col("__n") > rows_a_part)
-    d = d.join(big, F.col(key) == F.col("__k"), "left")
+    d = df.withColumn("__us", us).join(big, F.col(key) == F.col("__k"), "left")
     width = F.greatest(F.lit(1.0), (F.col("__t1") - F.col("__t0") + 1) / F.ceil(F.col("__n") / rows_a_part))
-    d = d.withColumn("__part", F.coalesce(F.floor((F.col("__us") - F.col("__t0")) / width), F.lit(0)).cast("long")).drop("__k", "__n", "__t0", "__t1")
-    order = ["__us", *then]
+    return d.withColumn("__part", F.coalesce(F.floor((F.col("__us") - F.col("__t0")) / width), F.lit(0)).cast("long")).drop("__k", "__n", "__t0", "__t1")
+
+
+def previous_in_order(df: DataFrame, key: str, at: str, then: list[str], carry: list[str], prefix: str = "prev_", rows_a_part: int = 50_000) -> DataFrame:
+    """Adds prefix + c for each c of carry: its value in the row before, within key, in order of at (a timestamp) and then.
+
+    Within a part (see _in_parts) the row before is found by a window; the first row of a part takes the last row of the part
+    before, from a table that has one row for each part. prefix + "exists" says whether there is a row before.
+    """
+    d, order = _in_parts(df, key, at, rows_a_part), ["__us", *then]
     w = Window.partitionBy(key, "__part").orderBy(*order)
     packed = F.struct(*[F.col(c).alias(c) for c in carry])
     last = d.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.max_by(packed, F.struct(*order)).alias("__last"))
     last = last.select("__k", "__p", F.lag("__last").over(Window.partitionBy("__k").orderBy("__p")).alias("__before")).where(F.col("__before").isNotNull())
     d = d.withColumn("__lag", F.lag(packed).over(w)).withColumn("__first", F.row_number().over(w) == 1)
     d = d.join(last, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left")
-    prev = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))
-    d = d.withColumn("__prev", prev)
+    d = d.withColumn("__prev", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag")))
     for c in carry:
         d = d.withColumn(prefix + c, F.col("__prev")[c])
     return d.withColumn(prefix + "exists", F.col("__prev").isNotNull()).drop("__us", "__part", "__lag", "__first", "__k", "__p", "__before", "__prev")
+
+
+def number_in_order(df: DataFrame, key: str, at: str, then: list[str], out: str, rows_a_part: int = 50_000) -> DataFrame:
+    """Adds out: 1, 2, 3 ... within key in order of at (a timestamp) and then; parts as in previous_in_order, whose counts are carried."""
+    d = _in_parts(df, key, at, rows_a_part)
+    n = d.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    off = n.select("__k", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    w = Window.partitionBy(key, "__part").orderBy("__us", *then)
+    d = d.withColumn(out, F.row_number().over(w).cast("long")).join(off, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left")
+    return d.withColumn(out, F.col(out) + F.col("__off")).drop("__us", "__part", "__k", "__p", "__off")
