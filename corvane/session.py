@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,5 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, once for each context (the driver's file server hands it out)."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_corvane_shipped", False):
+        return
+    to = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane_package.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, str(p.relative_to(home.parent)))
+    sc.addPyFile(str(to))
+    sc._corvane_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
