@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.tokens import VOCABULARY, with_token_counts
@@ -128,8 +128,7 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of targets: target and reached share, tokens, rows, distinct texts, most uses of one text."""
     per = mixed.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("uses"))
     per = per.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("uses").alias("n_rows"), F.count(F.lit(1)).alias("n_docs"), F.max("uses").alias("most_uses"))
-    whole = mixed.agg(F.sum("n_tokens").alias("whole"))
     t = targets.where(F.col("source").isNotNull()).groupBy(clean_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("repeat_cap").alias("repeat_cap"))
-    j = t.join(per, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    j = t.join(per, "source", "left").withColumn("whole", F.sum("n_tokens").over(Window.partitionBy()))  # a row for each target
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return j.select("source", "target_share", "repeat_cap", F.round(F.coalesce(F.col("n_tokens") / F.col("whole"), F.lit(0.0)), 6).alias("share"), z("n_tokens"), z("n_rows"), z("n_docs"), z("most_uses"))

@@ -8,6 +8,7 @@ a table of patterns, each for a run of containers; items find their container by
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,9 +121,9 @@ def pack_items(df: DataFrame, item: str, size: str, capacities: list[tuple[str,
     cut. Items of size 0 (or null) go into container 0, which takes no space. Repeated items count each time (with numbers of
     their own). The table of patterns that tasks get has at most a few rows for each length up to the capacity.
     """
-    kinds = df.sparkSession.createDataFrame([(k, int(c)) for k, c in capacities], "container_kind string, capacity long")
+    kinds = F.from_json(F.lit(json.dumps([{"container_kind": k, "capacity": int(c)} for k, c in capacities])), "array<struct<container_kind:string,capacity:long>>")
     d = df.select(F.col(item), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("total"))
-    d = d.crossJoin(F.broadcast(kinds)) if len(capacities) else d.limit(0).crossJoin(kinds)  # one row for each kind: a table of a few rows
+    d = d.select("*", F.inline(kinds))  # a row for each kind; none if there are no kinds
     full, rest = F.floor(F.col("total") / F.col("capacity")), F.col("total") % F.col("capacity")
     last = d.select("*", full.alias("piece_no"), (full * F.col("capacity")).alias("start"), rest.alias("size")).where((F.col("size") > 0) | (F.col("total") == 0))
     whole = d.where(F.col("total") >= F.col("capacity")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no")).select("*", (F.col("piece_no") * F.col("capacity")).alias("start"), F.col("capacity").alias("size"))
