@@ -124,7 +124,7 @@ class Model:
 WORD = re.compile(r"[^\W\d_]*\*[^\W\d_]*|[^\W\d_]{2,}")
 
 
-def telling_words(clean: list[list[str]], toxic: list[list[str]], least: int) -> set[str]:
+def telling_words(clean: list[list[str]], toxic: list[list[str]], least: int, common: frozenset = frozenset()) -> set[str]:
     """Words that at least `least` toxic documents have, and of the documents that have them more than half (scaled to equal numbers: four fifths) are toxic."""
     df = [{}, {}]
     for k, docs in enumerate((clean, toxic)):
@@ -132,7 +132,7 @@ def telling_words(clean: list[list[str]], toxic: list[list[str]], least: int) ->
             for w in {x for s in d for x in WORD.findall(s)}:
                 df[k][w] = df[k].get(w, 0) + 1
     odds = max(1.0, len(clean)) / max(1.0, len(toxic))
-    return {w for w, n in df[1].items() if n >= least and n > df[0].get(w, 0) and n * odds >= 4 * df[0].get(w, 0)}
+    return {w for w, n in df[1].items() if w not in common and n >= least and n > df[0].get(w, 0) and n * odds >= 4 * df[0].get(w, 0)}
 
 
 def near_shares(candidates: set[str], docs: list[tuple[int, list[str]]], similarity: float = 0.4) -> dict[str, tuple[int, int]]:
@@ -159,7 +159,7 @@ def near_shares(candidates: set[str], docs: list[tuple[int, list[str]]], similar
     return out
 
 
-def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int) -> Model:
+def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int, common: frozenset = frozenset()) -> Model:
     """Dictionaries from the windows of documents called clean and toxic.
 
     Toxic documents hold ordinary windows too, and some documents are wrongly labelled. Windows of toxic documents count as toxic
@@ -167,7 +167,7 @@ def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int) -> Mod
     toxic documents, are left out as wrongly labelled.
     """
     has = lambda w, words: not words.isdisjoint(WORD.findall(w))
-    once, often = telling_words(clean, toxic, 1), telling_words(clean, toxic, 2)
+    once, often = telling_words(clean, toxic, 1, common), telling_words(clean, toxic, 2, common)
     bad = {w for d in toxic for w in d if has(w, once)}
     good = {w for d in clean for w in d if not has(w, often)} | {w for d in toxic for w in d if not has(w, once)}
     near = near_shares(bad, [(0, d) for d in clean] + [(1, d) for d in toxic])
@@ -176,16 +176,16 @@ def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int) -> Mod
     return Model(train_dictionary(good, SEED_ORDINARY, budget), train_dictionary(bad, SEED_TOXIC, budget))
 
 
-def fit(docs: list[tuple[int, bool, list[str]]], budget: int = 110_000) -> Model:
-    """docs: (doc_id, toxic, windows). The threshold is that of the best F1 over documents, from dictionaries of the other half."""
+def fit(docs: list[tuple[int, bool, list[str]]], common: frozenset = frozenset(), budget: int = 110_000) -> Model:
+    """docs: (doc_id, toxic, windows); common: words that are frequent in the whole collection and so tell nothing. The threshold is that of the best F1 over documents, from dictionaries of the other half."""
     docs = sorted(docs, key=lambda d: xxhash.xxh64_intdigest(str(d[0])))
     split = lambda ds: ([w for _, t, w in ds if not t], [w for _, t, w in ds if t])
     scored: list[tuple[float, bool]] = []
     for fold in (0, 1):
         rest, held = [d for i, d in enumerate(docs) if i % 2 != fold], [d for i, d in enumerate(docs) if i % 2 == fold]
-        m = fit_once(*split(rest), budget)
+        m = fit_once(*split(rest), budget, common)
         scored += [(max([m.score(w) for w in ws], default=-99), t) for _, t, ws in held]
-    model = fit_once(*split(docs), budget)
+    model = fit_once(*split(docs), budget, common)
     best, positives = (0.0, 12.0), sum(t for _, t in scored)
     for th in range(8, 26):
         tp = sum(t for s, t in scored if s >= th)
@@ -218,7 +218,27 @@ def train(documents: DataFrame, labels: DataFrame, most_docs: int = 8000, most_w
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "ws": ws})
 
     rows = d.mapInPandas(cut_up, "doc_id long, toxic boolean, ws array<string>").toPandas()
-    return fit([(int(i), bool(t), list(w)) for i, t, w in zip(rows["doc_id"], rows["toxic"], rows["ws"])])
+    docs = [(int(i), bool(t), list(w)) for i, t, w in zip(rows["doc_id"], rows["toxic"], rows["ws"])]
+    asked = frozenset(x for _, toxic, ws in docs if toxic for w in ws for x in WORD.findall(w))
+    return fit(docs, common_words(documents, asked))
+
+
+def common_words(documents: DataFrame, asked: frozenset, share: float = 0.01) -> frozenset:
+    """Those of the asked words that more than the given share of all documents have; counted over whole texts, added up per task first."""
+    shared = documents.sparkSession.sparkContext.broadcast(asked)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = {}, 0
+        for pdf in batches:
+            for t in pdf["text"]:
+                total += 1
+                for w in shared.value.intersection(WORD.findall(plain(t))) if t else ():
+                    n[w] = n.get(w, 0) + 1
+        yield pd.DataFrame([("", total), *n.items()], columns=["word", "n"])
+
+    rows = dict(documents.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n")).collect())
+    total = rows.pop("", 0)
+    return frozenset(w for w, n in rows.items() if n > max(3, share * total))
 
 
 _models: dict[int, Model] = {}
