@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["conversation_queries", "splitting_queries", "neighbour_queries", "composition_queries", "credential_queries", "moderation_queries", "handwritten_queries"]
+MODULES = ["conversation_queries", "splitting_queries", "neighbour_queries", "composition_queries", "credential_queries", "moderation_queries", "handwritten_queries", "pair_queries"]
 
 QUERIES: dict = {}
 SQL: dict = {}
