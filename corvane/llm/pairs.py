@@ -34,6 +34,8 @@ DECLINES = re.compile(
     |not\s+a\s+(?:subject|topic)\s+i\b|(?:told|asked|instructed)\s+not\s+to\s+(?:share|discuss|say|answer|reveal)|(?:in)?appropriate\s+for\s+me|not\s+let\s+me\s+(?:respond|answer)|permit\s+me\s+to|for\s+me\s+to\s+say\s+anything|leave\s+it\s+unanswered|nope,?\s+won(?:'|’)t|won(?:'|’)t\s+do\s+that|no\s+comment|i\s+don(?:'|’)t\s+know
     |is\s+there\s+(?:something|anything)\s+else|(?:can|may)\s+i\s+help\s+(?:you\s+)?with\s+(?:something|anything)\s+else|ask\s+me\s+(?:something|anything)\s+else
     |please\s+(?:ask|contact|consult)\s+(?:a|an|the|someone|somebody|your)\b|let(?:'|’)s\s+talk\s+about\s+something\s+else
+    |no\s+(?:answer|reply|comment)\s+(?:can|could|will)\s+be\s+(?:given|provided)|try\s+rephrasing|(?:this|that|your)\s+(?:question|request)\s+(?:exceeds|falls\s+(?:beyond|outside)|goes\s+beyond)
+    |übersteigt\s+mein|nicht\s+befugt|(?:supera|excede)\s+mi|no\s+tengo\s+permi|dépasse\s+(?:mon|ma|mes|le\s+cadre)|pas\s+autorisé|não\s+tenho\s+permiss|(?:foge|ultrapassa)\s+(?:d[oa]\s+)?(?:meu|minha)
     |(?:kann|darf|möchte|will)\s+ich\s+(?:\w+\s+){0,3}?(?:nicht|keine)|nicht\s+(?:beantworten|helfen|weiterhelfen)|keine\s+auskunft|außerhalb\s+meiner|sage\s+ich\s+(?:\w+\s+){0,2}nichts|tut\s+mir\s+leid|ich\s+(?:kann|darf|weiß)\s+(?:\w+\s+){0,4}?nicht
     |no\s+(?:puedo|podemos|debo)\s+(?:\w+\s+){0,2}?(?:ayudar|responder|contestar|comentar|decir)|prefiero\s+no|no\s+estoy\s+autorizad|lo\s+siento|no\s+(?:dispongo|tengo)\s+(?:\w+\s+){0,2}?(?:información|acceso)|fuera\s+de\s+mi
     |je\s+ne\s+(?:peux|puis|suis|dispose|souhaite)\b|je\s+n(?:'|’)ai\s+(?:pas|aucun)|préfère\s+ne\s+pas|désolée?\b|en\s+dehors\s+de\s+mes
