@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["references"]
+MODULES = ["references", "source"]
 
 
 def _collect(what: str) -> dict:
