@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["references", "source"]
+MODULES = ["references", "source", "knowledge"]
 
 
 def _collect(what: str) -> dict:
