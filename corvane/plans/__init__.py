@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["references", "source", "knowledge"]
+MODULES = ["references", "source", "knowledge", "overview"]
 
 
 def _collect(what: str) -> dict:
