@@ -22,7 +22,7 @@ QUOTED = r"""(?P<q>["'`])(?P<v>[^"'`\n]{6,400})(?P=q)"""
 BARE = r"""(?P<v>[^\s"'`,;&<>(){}\[\]]{6,400})"""
 #: Where a credential stands. Group v is the value, w its continuation.
 RULES = {
-    "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY(?: BLOCK)?-----(?:\\r|\\n|\s)*(?P<v>[A-Za-z0-9+/=]{24,}(?:(?:\\r|\\n|\s)+[A-Za-z0-9+/=]{8,})*)",
+    "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY(?: BLOCK)?-----(?:\\r|\\n|\s)*(?P<v>[A-Za-z0-9+/=]{16,}(?:(?:\\r|\\n|\s)+[A-Za-z0-9+/=]{8,})*)",
     "quoted": rf"""(?i){NAME}[\w\-]*["'`\]]*\s*(?:=>|:=|[:=,])\s*[a-z]?{QUOTED}""",
     "bare": rf"(?i){NAME}[\w\-]*\s*[=:]\s*{BARE}",
     "env": rf"(?i)\b(?:env|export|set)\s+\w*{NAME}\w*\s+{BARE}",

@@ -219,13 +219,17 @@ def train(documents: DataFrame, labels: DataFrame, most_docs: int = 8000, most_w
 
     rows = d.mapInPandas(cut_up, "doc_id long, toxic boolean, ws array<string>").toPandas()
     docs = [(int(i), bool(t), list(w)) for i, t, w in zip(rows["doc_id"], rows["toxic"], rows["ws"])]
-    asked = frozenset(x for _, toxic, ws in docs if toxic for w in ws for x in WORD.findall(w))
-    return fit(docs, common_words(documents, asked))
+    asked: dict[str, int] = {}
+    for _, toxic, ws in docs:
+        for x in {x for w in ws for x in WORD.findall(w)} if toxic else ():
+            asked[x] = asked.get(x, 0) + 1
+    # a word of toxic documents alone has, of all documents, hardly a larger share than of the labelled ones
+    return fit(docs, common_words(documents, {w: max(0.01, 1.5 * n / len(docs)) for w, n in asked.items()}))
 
 
-def common_words(documents: DataFrame, asked: frozenset, share: float = 0.01) -> frozenset:
-    """Those of the asked words that more than the given share of all documents have; counted over whole texts, added up per task first."""
-    shared = documents.sparkSession.sparkContext.broadcast(asked)
+def common_words(documents: DataFrame, asked: dict[str, float]) -> frozenset:
+    """The asked words that more than their given share of all documents have; counted over whole texts, added up per task first."""
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(asked))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total = {}, 0
@@ -238,7 +242,7 @@ def common_words(documents: DataFrame, asked: frozenset, share: float = 0.01) ->
 
     rows = dict(documents.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n")).collect())
     total = rows.pop("", 0)
-    return frozenset(w for w, n in rows.items() if n > max(3, share * total))
+    return frozenset(w for w, n in rows.items() if n > max(3, asked[w] * total))
 
 
 _models: dict[int, Model] = {}
