@@ -30,12 +30,12 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 def windows(df: DataFrame, text: str, keep: list[str], size: int, overlap: int) -> DataFrame:
     """keep, chunk_no, start_idx, end_idx, start_line, end_line, content of each window; lines are counted from 1."""
-    d = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__t"), F.posexplode(window_starts(F.length(text), size, overlap)).alias("chunk_no", "start_idx"))
+    d = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__t"), F.posexplode(window_starts(F.length(text), size, overlap)).alias("chunk_no", "start_idx")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
     content = F.col("__t").substr((F.col("start_idx") + 1).cast("int"), F.lit(size))
     before = F.col("__t").substr(F.lit(1), F.col("start_idx").cast("int"))
     nl = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     d = d.withColumn("content", content)
-    d = d.withColumn("end_idx", F.col("start_idx") + F.length("content")).withColumn("start_line", nl(before) + 1).withColumn("end_line", F.col("start_line") + nl(F.col("content")))
+    d = d.withColumn("end_idx", F.col("start_idx") + F.length("content")).withColumn("start_line", (nl(before) + 1).cast("long")).withColumn("end_line", F.col("start_line") + nl(F.col("content")))
     return d.select(*keep, "chunk_no", "start_idx", "end_idx", "start_line", "end_line", "content")
 
 

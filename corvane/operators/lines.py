@@ -11,7 +11,7 @@ ANY_LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 def explode_lines(df: DataFrame, text: str, keep: list[str], out: str = "line", number: str = "line_number") -> DataFrame:
     """A row for each line (split at LF, as kept in the text), numbered from 1. Null texts give no rows, empty ones one empty line."""
-    return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("__p", out)).withColumn(number, F.col("__p") + 1).drop("__p")
+    return df.where(F.col(text).isNotNull()).select(*keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("__p", out)).withColumn(number, (F.col("__p") + 1).cast("long")).drop("__p")
 
 
 def explode_any_lines(df: DataFrame, text: str, keep: list[str], out: str = "line", number: str = "line_number") -> DataFrame:
@@ -19,7 +19,7 @@ def explode_any_lines(df: DataFrame, text: str, keep: list[str], out: str = "lin
     a = F.split(F.col(text), ANY_LINE_END, -1)
     a = F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
     d = df.where(F.col(text).isNotNull()).select(*keep, a.alias("__a"))
-    return d.select(*keep, F.posexplode("__a").alias("__p", out)).withColumn(number, F.col("__p") + 1).drop("__p")
+    return d.select(*keep, F.posexplode("__a").alias("__p", out)).withColumn(number, (F.col("__p") + 1).cast("long")).drop("__p")
 
 
 def strip_comments(text: Column, hash_comments: bool = False) -> Column:
@@ -30,7 +30,7 @@ def strip_comments(text: Column, hash_comments: bool = False) -> Column:
 
 
 def n_lines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
 def n_filled(text: Column) -> Column:
@@ -47,7 +47,7 @@ def line_counts(df: DataFrame, text: str = "content", ext: str = "extension") ->
     filled = n_filled(t)
     hashed = F.size(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"^\s*#")))
     comments = F.when(e.isin(".py", ".rb"), hashed).otherwise(F.greatest(F.lit(0), filled - n_filled(strip_comments(t))))
-    d = df.withColumn("total_lines", n_lines(t)).withColumn("blank_lines", F.col("total_lines") - filled).withColumn("comment_lines", comments)
+    d = df.withColumn("total_lines", n_lines(t)).withColumn("blank_lines", F.col("total_lines") - filled).withColumn("comment_lines", comments.cast("long"))
     return d.withColumn("code_lines", F.col("total_lines") - F.col("blank_lines") - F.col("comment_lines"))
 
 

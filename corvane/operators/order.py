@@ -82,3 +82,21 @@ def number_in_order(df: DataFrame, key: str, at: str, then: list[str], out: str,
     w = Window.partitionBy(key, "__part").orderBy("__us", *then)
     d = d.withColumn(out, F.row_number().over(w).cast("long")).join(off, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left")
     return d.withColumn(out, F.col(out) + F.col("__off")).drop("__us", "__part", "__k", "__p", "__off")
+
+
+def rank_spread(df: DataFrame, keys: list[str], order: list[Column], out: str, parts: int | None = None) -> DataFrame:
+    """Adds out: 1, 2, 3 ... within keys in the given order, which must be total; no task holds a whole group.
+
+    Rows are put into ranges of (keys, order), so that a large group lies in several; each range is written with its number, then
+    rows are numbered within key and range, and the counts of the key's ranges before are added. Nulls come first or last as the order says.
+    """
+    from corvane.session import cut
+
+    n = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = cut(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id()))
+    counts = d.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    off = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__p2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    r = d.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)).cast("long"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__part") == F.col("__p2")]
+    return r.join(off, on, "left").withColumn(out, F.col(out) + F.col("__off")).drop("__part", "__p2", "__off", *[f"__k_{k}" for k in keys])

@@ -70,7 +70,7 @@ def search_many(data: DataFrame, queries: DataFrame, k: int, key: str, vector: s
         flush() if ids else out.append(data.select(F.col(key).alias("query"), F.col(key), F.lit(0.0).alias("sim")).limit(0))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
     u = reduce(DataFrame.unionByName, out)
-    return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", key, F.round("sim", 4).alias("similarity"), "rank")
+    return u.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", key, F.round("sim", 4).alias("similarity"), "rank")
 
 
 def rerank(hits: DataFrame, limit: int, path: str = "file_path", key: str = "chunk_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["references", "source", "knowledge", "overview"]
+MODULES = ["references", "source", "knowledge", "overview", "insight"]
 
 
 def _collect(what: str) -> dict:

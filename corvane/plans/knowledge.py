@@ -8,6 +8,7 @@ from corvane.functions import code as X
 from corvane.operators import chunking as C
 from corvane.operators import graph as G
 from corvane.operators import vectors as V
+from corvane.operators.order import rank_spread
 from corvane.plans.sql_parts import any_of, basename
 from corvane.session import table
 
@@ -37,14 +38,11 @@ def file_routes(spark, d):
 
 def chunk_priority(spark, d):
     """Priority of every chunk and its place in its repository."""
-    from pyspark.sql import Window
-
     c = _once(spark, d)
     hot = C.chunks_with_issues(c, table(spark, d, "security_issues")).select(F.col("id").alias("hot"))
     j = c.join(hot, F.col("id") == F.col("hot"), "left")
     s = j.select("id", "repository_id", C.priority(F.col("file_path"), F.col("content"), F.col("chunk_type"), F.col("start_line"), F.col("end_line"), F.col("hot").isNotNull()).alias("score"))
-    w = Window.partitionBy("repository_id").orderBy(F.desc("score"), "id")
-    return s.withColumn("place", F.row_number().over(w)).select("id", F.round("score", 1).alias("score"), "place")
+    return rank_spread(s, ["repository_id"], [F.desc("score"), F.col("id")], "place").select("id", F.round("score", 1).alias("score"), "place")
 
 
 def evidence_documents(spark, d):
@@ -110,7 +108,7 @@ def chunk_stats(spark, d):
 
 def chunks_by_file(spark, d):
     c = _once(spark, d).where("file_path is not null")
-    return c.groupBy("repository_id", "file_path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunk_ids"))
+    return c.groupBy("repository_id", "file_path").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.min("chunk_id").alias("first_chunk"))
 
 
 def import_names(spark, d):
@@ -206,7 +204,7 @@ SQL = {
  select id, greatest(10, least(100, floor(least(65.0, best * 65) + least(20, n * 4) + least(15, f * 5))))::int confidence, best >= 0.15 citable from g""",
     "upserted_chunks": "select chunk_id, id from (select *, row_number() over (partition by chunk_id order by created_at desc, id desc) r from repository_embeddings where chunk_id is not null) where r = 1",
     "chunk_stats": f"select chunk_type, source_phase, count(*) n, round(avg(length(content)), 6) mean_chars, max(length(content))::int most_chars from {_ONCE} group by 1, 2",
-    "chunks_by_file": f"select repository_id, file_path, count(*) n, string_agg(chunk_id, ',' order by chunk_id) chunk_ids from {_ONCE} where file_path is not null group by 1, 2",
+    "chunks_by_file": f"select repository_id, file_path, count(*) n, min(start_line) first_line, max(end_line) last_line, min(chunk_id) first_chunk from {_ONCE} where file_path is not null group by 1, 2",
     "import_names": r"""with n as (select id, lower(extension) ending, unnest(case when lower(extension) = '.py' then regexp_extract_all(content, '(?m)^(?:from|import) ([\w.]+)', 1) when lower(extension) in ('.js', '.ts') then regexp_extract_all(content, '(?m)^import [^''"\n]*[''"]([^''"\n]+)[''"]', 1)
    when lower(extension) = '.c' then regexp_extract_all(content, '(?m)^#include [<"]([^>"\n]+)[>"]', 1) end) as module from repository_files where content is not null) select ending, module, count(*) n, count(distinct id) n_files from n group by 1, 2""",
     "supply_coupling": """with e as (select distinct 'p' || l_partkey src, 's' || l_suppkey dst from lineitem), o as (select src p, count(*) fan_out from e group by 1), i as (select dst p, count(*) fan_in from e group by 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import code as X
 from corvane.operators import analyzers as A
 from corvane.operators import scoring as S
+from corvane.operators.order import number_in_order, rank_spread
 from corvane.session import table
 
 
@@ -36,7 +37,7 @@ def top_files(spark, d):
     """The ten files of each repository with the highest complexity, size and number of smells; ties by path and id."""
     f = _files(spark, d).where("path is not null").select("id", "repository_id", "path", F.explode(F.create_map(F.lit("complexity"), F.coalesce(F.col("complexity").cast("long"), F.lit(0)), F.lit("size"), F.coalesce(F.col("lines_of_code").cast("long"), F.lit(0)), F.lit("smells"), F.coalesce(F.col("code_smells_count").cast("long"), F.lit(0)))).alias("measure", "value"))
     w = Window.partitionBy("repository_id", "measure").orderBy(F.desc("value"), "path", "id")
-    return f.withColumn("place", F.row_number().over(w)).where("place <= 10").select("repository_id", "measure", "place", "id", "value")
+    return f.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("repository_id", "measure", "place", "id", "value")
 
 
 def severity_counts(spark, d):
@@ -84,8 +85,7 @@ def contributors(spark, d):
 
 def files_page(spark, d):
     """The third page of ten files of each repository, by path."""
-    w = Window.partitionBy("repository_id").orderBy("path", "id")
-    f = _files(spark, d).where("path is not null").withColumn("r", F.row_number().over(w))
+    f = rank_spread(_files(spark, d).where("path is not null").select("id", "repository_id", "path"), ["repository_id"], [F.col("path"), F.col("id")], "r")
     return f.where("r between 21 and 30").select("repository_id", "id", "r")
 
 
@@ -123,12 +123,12 @@ def valid_urls(spark, d):
 
 
 def markdown_lines(spark, d):
-    """A report for each repository: a heading and a line for each issue, in order."""
-    i = _issues(spark, d).where("file_path is not null and line_number is not null")
+    """A report for each repository as numbered lines: a heading, then a line for each issue by path, line and id."""
+    i = _issues(spark, d).where("file_path is not null and line_number is not null and severity is not null")
     line = F.concat(F.lit("- "), "severity", F.lit(" "), "file_path", F.lit(":"), F.col("line_number").cast("string"))
-    g = i.where("severity is not null").groupBy("repository_id").agg(F.array_sort(F.collect_list(F.struct("file_path", "line_number", "id", line.alias("l")))).alias("a"))
-    text = F.concat(F.lit("# Issues\n"), F.array_join(F.transform("a", lambda x: x["l"]), "\n"))
-    return g.select("repository_id", F.size("a").alias("n"), F.md5(text).alias("digest"))
+    body = rank_spread(i.select("repository_id", "file_path", "line_number", "id", line.alias("line")), ["repository_id"], [F.col("file_path"), F.col("line_number"), F.col("id")], "no")
+    head = i.select("repository_id").distinct().select("repository_id", F.lit(0).cast("long").alias("no"), F.lit("# Issues").alias("line"))
+    return head.unionByName(body.select("repository_id", "no", "line"))
 
 
 def without_files(spark, d):
@@ -147,14 +147,13 @@ def unchanged_files(spark, d):
 def chat_history(spark, d):
     """Messages of each session in order, with their place."""
     m = table(spark, d, "chat_messages").where("session_id is not null").dropDuplicates(["id"])
-    w = Window.partitionBy("session_id").orderBy("created_at", "id")
-    return m.select("id", "session_id", F.row_number().over(w).alias("place"))
+    return number_in_order(m.select("id", "session_id", "created_at"), "session_id", "created_at", ["id"], "place").select("id", "session_id", "place")
 
 
 def last_turns(spark, d):
     m = table(spark, d, "chat_messages").where("session_id is not null").dropDuplicates(["id"])
     w = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return m.select("id", "session_id", F.row_number().over(w).alias("back")).where("back <= 3")
+    return m.select("id", "session_id", F.row_number().over(w).cast("long").alias("back")).where("back <= 3")
 
 
 def summary_due(spark, d):
@@ -261,7 +260,7 @@ SQL = {
     "graph_nodes": "select repository_id, id from (select *, count(*) over (partition by repository_id) n, row_number() over (partition by repository_id order by coalesce(coupling_score, 0) desc, path, id) r from repository_files where path is not null) where n <= 80 or r <= 40",
     "status_groups": "with s as (select upper(trim(status)) status, health_score from repositories) select status, case when status in ('CLONING', 'PARSING', 'SCANNING', 'ANALYZING', 'PENDING', 'RUNNING') then 'FAILED' when status = 'INDEXING' then 'INTERRUPTED' else status end after_crash, count(*) n, round(avg(health_score), 4) mean_health from s group by 1, 2",
     "valid_urls": r"select id, coalesce(regexp_matches(trim(url), '^https?://github\.com/[\w.-]+/[\w.-]+?(?:\.git)?/?$'), false) valid from repositories",
-    "markdown_lines": f"select repository_id, count(*)::int n, md5('# Issues' || chr(10) || string_agg('- ' || severity || ' ' || file_path || ':' || line_number, chr(10) order by file_path, line_number, id)) digest from {_I} where file_path is not null and line_number is not null and severity is not null group by 1",
+    "markdown_lines": f"with i as (select * from {_I} where file_path is not null and line_number is not null and severity is not null) select distinct repository_id, 0::bigint as no, '# Issues' as line from i union all select repository_id, row_number() over (partition by repository_id order by file_path, line_number, id), '- ' || severity || ' ' || file_path || ':' || line_number from i",
     "without_files": f"select repository_id, count(*) n from repository_embeddings e where not exists (select 1 from {_I} i where i.severity = 'Critical' and i.repository_id = e.repository_id and i.file_path = e.file_path) group by 1",
     "unchanged_files": "select id from (select id, row_number() over (partition by repository_id, path, content_hash order by id) r from repository_files where path is not null and content_hash is not null) where r > 1",
     "chat_history": f"select id, session_id, row_number() over (partition by session_id order by created_at, id) place from {_MSG}",

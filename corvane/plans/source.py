@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import code as X
 from corvane.operators import lines as L
 from corvane.operators import scanners as S
+from corvane.operators.order import rank_spread
 from corvane.plans.sql_parts import ANY_SPLIT, LINES, any_of, basename, quoted
 from corvane.session import table
 
@@ -54,8 +55,7 @@ def module_types(spark, d):
 def file_priority(spark, d):
     """Rank of files within their repository by priority and path."""
     p = _files(spark, d).where("path is not null").select("id", "repository_id", "path", X.priority(F.col("path")).alias("priority"))
-    w = Window.partitionBy("repository_id").orderBy("priority", "path", "id")
-    return p.withColumn("place", F.row_number().over(w)).select("id", "priority", "place")
+    return rank_spread(p, ["repository_id"], [F.col("priority"), F.col("path"), F.col("id")], "place").select("id", "priority", "place")
 
 
 def scanned_files(spark, d):

@@ -21,3 +21,7 @@ def spark():
 def rows():
     """The rows of a DataFrame as sorted tuples."""
     return lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def pytest_configure(config):
+    sys.path.insert(0, str(Path(__file__).resolve().parent))

@@ -66,3 +66,13 @@ def test_one_hot_key_is_spread(spark):
 def test_small_tables(spark, n):
     d = spark.createDataFrame([("a", T0, 1)][:n], "k string, at timestamp, id long")
     assert O.previous_in_order(d, "k", "at", ["id"], ["id"]).count() == n
+
+
+def test_rank_spread(spark):
+    data = [("hot", i % 97, i) for i in range(900)] + [("b", None, 1), (None, 3, 2), ("b", 5, 3)]
+    d = spark.createDataFrame(data, "k string, v int, id long")
+    got = {(r["k"], r["id"]): r["n"] for r in O.rank_spread(d, ["k"], [F.col("v"), F.col("id")], "n", parts=6).collect()}
+    for key in ("hot", "b", None):
+        rows = sorted((x for x in data if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        assert [got[(key, x[2])] for x in rows] == list(range(1, len(rows) + 1))
+    assert O.rank_spread(d.limit(0), ["k"], [F.col("v"), F.col("id")], "n").count() == 0
