@@ -27,5 +27,5 @@ _TURNS = """
 QUERIES = {"p4_found": p4_found, "p4_conversations": p4_conversations}
 SQL = {
     "p4_found": f"with {_TURNS} select session_id, reason from found",
-    "p4_conversations": f"with {_TURNS} select session_id, turn_no, speaker, content, created_at as \"at\" from t where session_id in (select id from chat_sessions) and session_id not in (select session_id from found)",
+    "p4_conversations": f"with {_TURNS} select session_id, turn_no, speaker, content, created_at at time zone 'UTC' as \"at\" from t where session_id in (select id from chat_sessions) and session_id not in (select session_id from found)",
 }
