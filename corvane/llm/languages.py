@@ -14,6 +14,7 @@ WORDS = {
     "it": "il lo la i gli le un uno una e o di del della dei delle in nel nella con senza per che chi non più se suo sua è sono era essere come quando dove quale perché ma anche solo dopo prima questo questa tutti",
 }
 SETS = {k: frozenset(v.split()) for k, v in WORDS.items()}
+_LANGUAGES_OF = {w: tuple(k for k, s in SETS.items() if w in s) for w in frozenset().union(*SETS.values())}
 #: Names of languages in several languages; fixed values.
 NAMES = {
     "en": "english|englisch|inglés|anglais|inglês|inglese", "de": "german|deutsch|alemán|allemand|alemão|tedesco", "es": "spanish|spanisch|español|espagnol|espanhol|castellano|spagnolo",
@@ -32,11 +33,13 @@ def language(text: str) -> str | None:
     letters = len(re.findall(r"[^\W\d_]", t))
     if not letters:
         return None
-    for k, p in _SCRIPTS:
+    for k, p in () if t.isascii() else _SCRIPTS:
         if len(p.findall(t)) >= max(2, 0.2 * letters):
             return k
-    words = re.findall(r"[^\W\d_]+", t.lower())
-    score = {k: sum(w in s for w in words) for k, s in SETS.items()}
+    score = dict.fromkeys(SETS, 0)
+    for w in re.findall(r"[^\W\d_]+", t.lower()):
+        for k in _LANGUAGES_OF.get(w, ()):
+            score[k] += 1
     best, second = sorted(score.values(), reverse=True)[:2]
     if best == 0 or best == second:
         return None

@@ -41,19 +41,35 @@ SEED_ORDINARY = (
     "the score says whether a comment is toxic", "the column sex has one letter", "strip the string and dump the rest", "penetration test", "male and female connectors", "the trash folder is emptied", "inject the dependency", "dependency hell", "execute the orphan task", "blow up the stack",
 )
 CODE = re.compile(r"`[^`\n]{1,200}`|(?<![\w/])[\w.\-]+(?:/[\w.\-]+)+|\bhttps?://\S+|\b[A-Za-z]+_\w+|\b[A-Z][a-z]+[A-Z]\w*")
-SPACED = [re.compile(rf"(?<![^\W_])[^\W\d_](?:{sep}[^\W\d_]){{{least},}}(?![^\W_]){end}") for sep, least, end in (("-", 1, ""), (r"\.", 1, r"(?:\.(?=\s+[^\W\d_]))?"), ("_", 1, ""), (" ", 2, ""))]
+#: Letters set apart by one kind of sign.
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:-[^\W\d_])+|(?:\.[^\W\d_])+(?:\.(?=\s+[^\W\d_]))?|(?:_[^\W\d_])+|(?: [^\W\d_]){2,})(?![^\W_])")
+LEETED = re.compile(r"(?<![\w@$!|])(?=[^\W\d_]*[\d@$!|])(?=[\d@$!|_]*[^\W\d_])[\w@$!|]+")
+FORMAT = dict.fromkeys(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")
+FOREIGN = re.compile(r"[^\W\d_]*[Ͱ-ӿԀ-ԯ][^\W\d_]*")
+LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if ord(k) < 0x370})
+
+
+def _latin(m: re.Match) -> str:
+    w = m[0]
+    return "".join(LOOKALIKES.get(c, c) for c in w) if re.search("[a-z]", w) or all(c in LOOKALIKES for c in w) else w
+
+
+def _unleet(m: re.Match) -> str:
+    w = m[0].rstrip("!|")
+    return w.translate(LEET) + m[0][len(w) :]
 
 
 def plain(text: str) -> str:
     """text in lower case, without disguises and with names of code and numbers masked."""
-    t = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    latin = text.isascii()
+    t = text if latin else unicodedata.normalize("NFKC", text).translate(FORMAT)
     t = CODE.sub("§", t).lower()
-    t = re.sub(r"[^\W\d_]+", lambda m: "".join(LOOKALIKES.get(c, c) for c in m[0]) if any(c in LOOKALIKES for c in m[0]) and re.search("[a-z]", m[0]) or m[0].isalpha() and all(c in LOOKALIKES for c in m[0]) else m[0], t)
-    for p in SPACED:
-        t = p.sub(lambda m: re.sub(r"[^\w]|_", "", m[0]), t.replace("- -", " "))
-    t = re.sub(r"(?<!\S)@", "@ ", t)
-    t = re.sub(r"[\w@$!|]*[^\W\d_][\w@$!|]*", lambda m: m[0] if m[0].isalpha() else m[0].rstrip("!|").translate(LEET) + m[0][len(m[0].rstrip("!|")) :], t)
-    t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    if not latin:
+        t = FOREIGN.sub(_latin, t).translate(LATIN)
+    t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), t.replace("- -", " "))
+    t = LEETED.sub(_unleet, re.sub(r"(?<!\S)@", "@ ", t))
+    if not latin:
+        t = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", t))
     return re.sub(r"\d+", "0", re.sub(r"([^\W\d_]|\*)\1+", r"\1", t))
 
 
@@ -73,7 +89,7 @@ def windows(text: str, size: int = 64) -> list[str]:
 class Dictionary:
     """A zstandard dictionary of given windows."""
 
-    def __init__(self, content: list[str], level: int = 19):
+    def __init__(self, content: list[str], level: int = 12):
         self.content = content
         self.data = ("\n".join(content) or "\n" * 8).encode().ljust(8, b"\n")
         d = zstandard.ZstdCompressionDict(self.data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -84,7 +100,7 @@ class Dictionary:
         return len(self.c.compress(w.encode()))
 
 
-def train_dictionary(samples: Iterable[str], seed: Iterable[str], budget: int, rounds: int = 6) -> Dictionary:
+def train_dictionary(samples: Iterable[str], seed: Iterable[str], budget: int, rounds: int = 4) -> Dictionary:
     """A dictionary of at most budget bytes: in each round, the samples that the dictionary so far compresses worst are added, each kind once."""
     left = sorted(set(samples), key=lambda s: xxhash.xxh64_intdigest(s))
     content = [plain(s) for s in seed]
@@ -163,17 +179,29 @@ def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int, common
     """Dictionaries from the windows of documents called clean and toxic.
 
     Toxic documents hold ordinary windows too, and some documents are wrongly labelled. Windows of toxic documents count as toxic
-    if they have a word that stands mostly in toxic documents; windows of clean documents with such a word, known from several
-    toxic documents, are left out as wrongly labelled.
+    if they have a word that stands mostly in toxic documents, and windows of similar words do too; windows of clean documents
+    with such a word, whose like stands mostly in toxic documents, are left out as wrongly labelled.
     """
     has = lambda w, words: not words.isdisjoint(WORD.findall(w))
     once, often = telling_words(clean, toxic, 1, common), telling_words(clean, toxic, 2, common)
     bad = {w for d in toxic for w in d if has(w, once)}
-    good = {w for d in clean for w in d if not has(w, often)} | {w for d in toxic for w in d if not has(w, once)}
-    near = near_shares(bad, [(0, d) for d in clean] + [(1, d) for d in toxic])
+    doubtful = {w for d in clean for w in d if has(w, often)}
+    near = near_shares(bad | doubtful, [(0, d) for d in clean] + [(1, d) for d in toxic])
     odds = max(1, len(clean)) / max(1, len(toxic))
+    wrong = {w for w in doubtful if near[w][1] * odds > near[w][0]}
+    good = {w for d in clean for w in d if w not in wrong} | {w for d in toxic for w in d if not has(w, once)}
     bad = {w for w in bad if near[w][1] * odds >= 4 * near[w][0]}
-    return Model(train_dictionary(good, SEED_ORDINARY, budget), train_dictionary(bad, SEED_TOXIC, budget))
+    m = Model(train_dictionary(good, SEED_ORDINARY, budget), train_dictionary(bad, SEED_TOXIC, budget))
+    # ordinary windows that look toxic to this pair go into the ordinary dictionary as well
+    hard, used, seen = [], 0, set()
+    for score, w in sorted(((m.score(w), w) for w in good), reverse=True):
+        if score < 4 or used > budget // 3:
+            break
+        if (key := frozenset(w.split())) not in seen:
+            seen.add(key)
+            hard.append(w)
+            used += len(w.encode()) + 1
+    return Model(Dictionary(m.ordinary.content + hard[::-1]), m.toxic)
 
 
 def fit(docs: list[tuple[int, bool, list[str]]], common: frozenset = frozenset(), budget: int = 110_000) -> Model:

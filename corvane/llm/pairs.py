@@ -49,7 +49,7 @@ _WORD = re.compile(r"[^\W_]+(?:[./_][^\W_]+)*")
 def visible_words(text: str) -> str:
     """text without markup, code fences that hold nothing, marks and invisible characters."""
     t = re.sub(r"<[^<>]{0,80}>|&nbsp;", " ", text)
-    t = "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t")
+    t = re.sub(r"[\x00-\x08\x0b-\x1f\x7f]", "", t) if t.isascii() else "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t")
     return re.sub(r"[\s`*_#>|~\-\[\](){}.,:;!?…\"'“”=+/\\]+", " ", t).strip()
 
 
