@@ -255,6 +255,14 @@ def train(documents: DataFrame, labels: DataFrame, most_docs: int = 8000, most_w
     return fit(docs, common_words(documents, {w: max(0.01, 1.5 * n / len(docs)) for w, n in asked.items()}))
 
 
+def rough_words(text: str) -> list[str]:
+    """The words of text as plain() spells them, without the search for disguises: enough to count frequent ones."""
+    t = text.lower()
+    if not t.isascii():
+        t = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t))
+    return WORD.findall(re.sub(r"([^\W\d_]|\*)\1+", r"\1", t))
+
+
 def common_words(documents: DataFrame, asked: dict[str, float]) -> frozenset:
     """The asked words that more than their given share of all documents have; counted over whole texts, added up per task first."""
     shared = documents.sparkSession.sparkContext.broadcast(frozenset(asked))
@@ -264,7 +272,7 @@ def common_words(documents: DataFrame, asked: dict[str, float]) -> frozenset:
         for pdf in batches:
             for t in pdf["text"]:
                 total += 1
-                for w in shared.value.intersection(WORD.findall(plain(t))) if t else ():
+                for w in shared.value.intersection(rough_words(t)) if t else ():
                     n[w] = n.get(w, 0) + 1
         yield pd.DataFrame([("", total), *n.items()], columns=["word", "n"])
 
