@@ -12,14 +12,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.code import boost, cosine
+from corvane.functions.code import boost
+
+
+def _unit_rows(b: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and unit vectors of a batch (key, vector of dim doubles); rows whose vector is zero or holds a null or NaN are left out."""
+    v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    norm = np.linalg.norm(v, axis=1)
+    good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+    return b.column(0).take(pa.array(good)), v[good] / norm[good][:, None]
 
 
 def search(chunks: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
-    """The k rows most similar to one query vector, with similarity (rounded to 4 digits); ties by key. Rows without a usable vector of the query's length are left out."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    d = chunks.where(F.size(vector) == len(query)).withColumn("__s", cosine(F.col(vector), q)).where(F.col("__s").isNotNull() & ~F.isnan("__s"))
-    return d.withColumn("similarity", F.round("__s", 4)).orderBy(F.desc("__s"), key).limit(k).drop("__s")
+    """The k rows most similar to one query vector, with similarity (rounded to 4 digits); ties by key, which should be unique.
+
+    Vectors are compared in Arrow batches; every task keeps its k best, and the k best of all are joined back to their rows. Rows
+    without a usable vector of the query's length are left out; a zero query finds nothing.
+    """
+    dim, q = len(query), np.asarray(query, np.float64)
+    n = float(np.linalg.norm(q))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sims = [], np.zeros(0)
+        for b in batches if n > 0 else ():
+            names, x = _unit_rows(b, dim)
+            keys, sims = keys + names.to_pylist(), np.r_[sims, x @ (q / n)]
+            if len(keys) > 4 * k:
+                top = sorted(range(len(keys)), key=lambda j: (-sims[j], keys[j]))[:k]
+                keys, sims = [keys[j] for j in top], sims[top]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(sims, pa.float64())], names=["__key", "__s"])
+
+    text = dict(chunks.dtypes)[key]
+    kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[text]
+    d = chunks.where((F.size(vector) == dim) & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>"))
+    top = d.mapInArrow(best, f"__key {text}, __s double").orderBy(F.desc("__s"), "__key").limit(k)
+    return chunks.join(F.broadcast(top), F.col(key) == F.col("__key")).withColumn("similarity", F.round("__s", 4)).orderBy(F.desc("__s"), key).drop("__s", "__key")
 
 
 def search_many(data: DataFrame, queries: DataFrame, k: int, key: str, vector: str, dim: int, block: int = 1024) -> DataFrame:
@@ -43,13 +70,11 @@ def search_many(data: DataFrame, queries: DataFrame, k: int, key: str, vector: s
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qi, qx = shared.value
             for b in batches:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                norm = np.linalg.norm(v, axis=1)
-                good = np.flatnonzero(np.isfinite(norm) & (norm > 0))
-                keys = b.column(0).take(pa.array(good)).to_pylist()
+                names, x = _unit_rows(b, dim)
+                keys = names.to_pylist()
                 if not keys or not qi:
                     continue
-                s = qx @ (v[good] / norm[good][:, None]).T
+                s = qx @ x.T
                 rows = []
                 for i, name in enumerate(qi):
                     m = min(len(keys), k + 1)
