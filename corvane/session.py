@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
@@ -47,16 +49,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _package() -> bytes:
+    """This package as a zip file, the same bytes for the same sources."""
+    home, out = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(home.parent))), p.read_bytes(), zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of all executors, once for each context (the driver's file server hands it out)."""
-    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    """Gives this package to the Python workers of all executors, once for each context, by way of the shared folder."""
+    sc = spark.sparkContext
     if getattr(sc, "_corvane_shipped", False):
         return
-    to = Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane_package.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(home.rglob("*.py")):
-            z.write(p, str(p.relative_to(home.parent)))
-    sc.addPyFile(str(to))
+    data = _package()
+    name = f"{shared_dir(spark).rstrip('/')}/corvane_{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        f = fs.create(path, True)
+        f.write(bytearray(data))
+        f.close()
+    sc.addPyFile(name)
     sc._corvane_shipped = True
 
 
