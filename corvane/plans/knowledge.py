@@ -17,12 +17,13 @@ def _chunks(spark, d):
     return table(spark, d, "repository_embeddings")
 
 
-def _once(spark, d):
-    """Chunks, each chunk_id once (its row with the smallest id)."""
+def _once(spark, d, *columns):
+    """Chunks, each chunk_id once (its row with the smallest id); columns are computed before rows are shuffled."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("chunk_id").orderBy("id")
-    return _chunks(spark, d).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    c = _chunks(spark, d).select("id", "chunk_id", *columns) if columns else _chunks(spark, d)
+    return c.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def fixed_windows(spark, d):
@@ -82,8 +83,8 @@ def neighbour_expansion(spark, d):
 
 def evidence_budget(spark, d):
     """Chunks of each repository, by path and line, as long as their contents fit into 8,000 characters."""
-    c = _once(spark, d).where("content is not null").select("id", "repository_id", F.coalesce("file_path", F.lit("")).alias("p"), F.coalesce("start_line", F.lit(0)).alias("l"), "content")
-    return V.within_budget(c, ["p", "l", "id"], F.length("content"), 8000, ["repository_id"]).select("id")
+    c = _once(spark, d, "repository_id", F.coalesce("file_path", F.lit("")).alias("p"), F.coalesce("start_line", F.lit(0)).alias("l"), F.length("content").alias("n")).where("n is not null")
+    return V.within_budget(c, ["p", "l", "id"], F.col("n"), 8000, ["repository_id"]).select("id")
 
 
 def answer_confidence(spark, d):
@@ -102,8 +103,8 @@ def upserted_chunks(spark, d):
 
 
 def chunk_stats(spark, d):
-    c = _once(spark, d)
-    return c.groupBy("chunk_type", "source_phase").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("content")), 6).alias("mean_chars"), F.max(F.length("content")).alias("most_chars"))
+    c = _once(spark, d, "chunk_type", "source_phase", F.length("content").alias("chars"))
+    return c.groupBy("chunk_type", "source_phase").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("chars"), 6).alias("mean_chars"), F.max("chars").alias("most_chars"))
 
 
 def chunks_by_file(spark, d):
