@@ -25,7 +25,7 @@ KINDS = ("minified", "generated", "vendored", "data")
 DIMS = {"header": 4096, "body": 4096, "shape": 4096, "path": 4096, "bins": 512}
 OFFSET = dict(zip(DIMS, np.cumsum([0, *DIMS.values()])))
 N_DIMS = sum(DIMS.values())
-WEIGHT = {"header": 1.0, "body": 0.5, "shape": 1.0, "path": 1.0, "bins": 0.7}
+WEIGHT = {"header": 1.5, "body": 0.5, "shape": 1.0, "path": 1.0, "bins": 0.7}
 
 #: Labelling rules: what marks a kind with little doubt. Fixed patterns.
 HEADER_RULES = {
