@@ -18,9 +18,13 @@ def p9_mix(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_texts(spark, d):
+    return mixing.with_texts(p9_mix(spark, d), table(spark, d, "documents"))
+
+
 def p9_report(spark, d):
     return mixing.share_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report}
+QUERIES = {"p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_texts": p9_texts, "p9_report": p9_report}
 SQL: dict = {}

@@ -132,3 +132,8 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     j = t.join(per, "source", "left").withColumn("whole", F.sum("n_tokens").over(Window.partitionBy()))  # a row for each target
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return j.select("source", "target_share", "repeat_cap", F.round(F.coalesce(F.col("n_tokens") / F.col("whole"), F.lit(0.0)), 6).alias("share"), z("n_tokens"), z("n_rows"), z("n_docs"), z("most_uses"))
+
+
+def with_texts(mixed: DataFrame, documents: DataFrame) -> DataFrame:
+    """The mixed rows with their texts, for writing: doc_id must be unique in documents."""
+    return mixed.join(documents.select("doc_id", "text"), "doc_id")
