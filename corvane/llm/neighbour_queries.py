@@ -14,7 +14,7 @@ def p7_found(spark, d):
 
 
 def p7_neighbours(spark, d):
-    n = N.nearest(table(spark, d, "repository_embeddings"), "chunk_id", "embedding")
+    n = N.nearest(table(spark, d, "repository_embeddings"), "chunk_id", "embedding", s=N.Search(min_similarity=None))
     return n.select(F.col("item").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 4).alias("similarity"), "rank")
 
 

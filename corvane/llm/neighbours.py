@@ -7,27 +7,33 @@ by more than a test allows that holds for random rotations; only survivors see t
 
 Exact copies (after scaling, to five decimals) are one class, represented once: a class of any size costs the scan of one
 vector. Lists that are expected to be large are dealt to tiles, and tiles of members meet tiles of queries in tasks of bounded size.
+
+Without a least similarity nothing may be left out: far neighbours lie in no few lists. Then tiles of queries meet all vectors, read
+in blocks from the shared folder, and a candidate is dropped only if it is below its query's k-th best so far. Exact, but quadratic.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut
+from corvane.session import cut, shared_dir
 
 
 @dataclass(frozen=True)
 class Search:
     k: int = 5
-    min_similarity: float = 0.90
+    min_similarity: float | None = 0.90  # None: the k most similar of every vector, however far, by an exact pass
     probes: int = 5  # lists probed by each vector; 5 find 99.87 % of the pairs above 0.90 on check_l, 4 find 99.70 %
     list_size: int = 256  # vectors in a list, on average
     max_lists: int = 8192  # bound of the table of centres
@@ -36,6 +42,7 @@ class Search:
     block: int = 16  # columns in a block
     epsilon: float = 2.1  # width of the test: larger abandons less
     seed: int = 7
+    exact_tile: int = 8192  # queries that meet all vectors in a task of the exact pass
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -184,9 +191,73 @@ def near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= s.k).drop("r")
 
 
+def _floats(vec: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vec.to_pylist()), np.float32).reshape(-1, dim)
+
+
+class Best:
+    """The k most similar members so far of each query, by similarity and then key."""
+
+    def __init__(self, keys: np.ndarray, q: np.ndarray, k: int):
+        self.keys, self.q, self.k = keys, q, k
+        self.sim, self.member = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+
+    def meet(self, keys: np.ndarray, m: np.ndarray, step: int = 1024, slice_pairs: int = 131_072) -> None:
+        """Takes in members. What single precision puts clearly below a query's k-th best is dropped; the rest is computed in double precision."""
+        for at in range(0, len(self.q), step):
+            s = self.q[at : at + step] @ m.T
+            least = self.sim[at : at + step, -1] - 1e-5
+            rows = np.flatnonzero(s.max(1) >= least)
+            i, j = np.nonzero(s[rows] >= least[rows, None])
+            i = rows[i] + at
+            for x in range(0, len(i), slice_pairs):
+                self._add(i[x : x + slice_pairs], j[x : x + slice_pairs], keys, m)
+
+    def _add(self, i: np.ndarray, j: np.ndarray, keys: np.ndarray, m: np.ndarray) -> None:
+        ok = self.keys[i] != keys[j]
+        i, j = i[ok], j[ok]
+        sim = np.einsum("ij,ij->i", self.q[i], m[j], dtype=np.float64)
+        u = np.unique(i)
+        a, b, sim = np.r_[np.repeat(u, self.k), i], np.r_[self.member[u].ravel(), keys[j]], np.r_[self.sim[u].ravel(), sim]
+        top = _top(a, b, sim, self.k)
+        self.sim[u], self.member[u] = sim[top].reshape(-1, self.k), b[top].reshape(-1, self.k)
+
+
+def all_near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
+    """(a, b, sim): for each class a the s.k other classes b with the highest similarity (all others if they are fewer), exactly."""
+    spark = reps.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/vectors_{uuid.uuid4().hex}"
+    reps.select("class", "vec").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+
+    def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(b.column(0).to_numpy(), _floats(b.column(1), dim)) for b in batches if b.num_rows]
+        if not own:
+            return
+        best = Best(np.concatenate([k for k, _ in own]), np.concatenate([v for _, v in own]), s.k)
+        fs, at = pa.fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        members = pa.dataset.dataset(at, filesystem=fs, format="parquet")
+        width = 64  # the first blocks are small: until there are k, every member of a block is taken in
+        for b in members.to_batches(columns=["class", "vec"], batch_size=8192, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            keys, v, x = b.column(0).to_numpy(), _floats(b.column(1), dim), 0
+            while x < len(v):
+                best.meet(keys[x : x + width], v[x : x + width])
+                x, width = x + width, min(2048, 4 * width)
+        a, ok = np.repeat(best.keys, s.k), np.isfinite(best.sim).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(best.member.ravel()[ok]), pa.array(best.sim.ravel()[ok])], schema=out)
+
+    stored = spark.read.parquet(path)
+    tiles = max(1, -(-stored.count() // s.exact_tile))
+    edges = cut(stored.repartition(tiles, "class").mapInArrow(scan_all, "a long, b long, sim double"))
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    return edges
+
+
 def nearest(df: DataFrame, item: str, vector: str, dim: int = 64, s: Search = Search()) -> DataFrame:
     """(item, neighbour, similarity, rank): for each item up to s.k others with the highest cosine similarity, at least s.min_similarity.
 
+    If that is None, every item has the s.k most similar others, exactly (all others if they are fewer).
     Vectors that are null, of another length, all zero or hold a null or NaN take no part; norms do not matter. An item that
     comes in several rows counts once for each different vector it has. Ties go to the smaller item. Copies of a vector are the
     nearest neighbours of each other with similarity 1: an item of a large class of copies gets s.k of them. An empty table gives no rows.
@@ -194,9 +265,9 @@ def nearest(df: DataFrame, item: str, vector: str, dim: int = 64, s: Search = Se
     items = unit_vectors(df, item, vector, dim, s.seed)
     reps = cut(items.groupBy("class").agg(F.first("vec").alias("vec")))
     members = cut(items.select("class", "item").distinct())
-    edges = near_classes(reps, dim, s)
+    edges = all_near_classes(reps, dim, s) if s.min_similarity is None else near_classes(reps, dim, s)
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("item"))).where(F.col("r") <= s.k + 1)
-    edges = cut(edges)
+    edges = edges if s.min_similarity is None else cut(edges)
     touched = edges.select(F.col("a").alias("class")).union(edges.select(F.col("b"))).distinct()
     copied = few.where("r = 2").select("class")
     few = cut(few.join(touched.union(copied).distinct(), "class", "left_semi"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from corvane.llm import neighbours as N
+from corvane.llm.neighbour_queries import p7_neighbours
 
 SCHEMA = "chunk_id string, embedding array<float>, class long, vec string, item string, sim double"
 
@@ -96,3 +97,25 @@ def test_dense_cluster_of_a_third(spark):
     np.fill_diagonal(s, -2)
     hits = sum(len(by[ids[i]] & {ids[j] for j in np.argsort(-s[i])[:5]}) for i in range(400))
     assert hits >= 0.9 * 5 * 400
+
+
+def test_every_chunk_has_its_nearest_however_far(spark, tmp_path):
+    x = np.concatenate([families(20, 3, seed=14), np.random.default_rng(15).standard_normal((400, 64))])
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    table(spark, ids, x, [("z", [0.0] * 64, 1, "", "", 0.0), ("n", None, 1, "", "", 0.0)]).write.parquet(str(tmp_path / "repository_embeddings.parquet"))
+    got = {}
+    for r in sorted(p7_neighbours(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["chunk_id"], []).append(r["neighbour_id"])
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = n @ n.T
+    np.fill_diagonal(s, -2)
+    assert got == {ids[i]: [ids[j] for j in np.argsort(-s[i])[:5]] for i in range(len(ids))}
+
+
+def test_exact_pass_over_tiles_and_few_vectors(spark):
+    x = np.random.default_rng(16).standard_normal((90, 64))
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    a, b = ({tuple(r)[:2] for r in N.nearest(table(spark, ids, x), "chunk_id", "embedding", s=N.Search(min_similarity=None, exact_tile=t)).collect()} for t in (8192, 7))
+    assert a == b and len(a) == 5 * len(x)
+    for n, want in ((0, 0), (1, 0), (3, 6)):
+        assert N.nearest(table(spark, ids[:n], x[:n]), "chunk_id", "embedding", s=N.Search(min_similarity=None)).count() == want
