@@ -18,37 +18,38 @@ from corvane.llm.trigrams import Segment, compile_rules, trigrams_of
 HIDDEN = "[REDACTED]"
 #: Names of things that hold credentials.
 NAME = r"(?:pass(?:w(?:or)?d|phrase|wrd)|pwd|secret|token|api[_-]?key|key|credential|auth|_pass|-pass)"
-QUOTED = r"""(?P<q>["'`])(?P<v>[^"'`\n]{6,400})(?P=q)"""
-BARE = r"""(?P<v>[^\s"'`,;&<>(){}\[\]]{6,400})"""
-#: Where a credential stands. Group v is the value, w its continuation.
+QUOTED = r"""(?P<q>["'`])(?P<v>[^"'`\n]{6,})(?P=q)"""
+BARE = r"""(?P<v>[^\s"'`,;&<>(){}\[\]]{6,})"""
+#: Where a credential stands. Group v is the value, w its continuation; both are as long as they are, bounds hold for what stands before.
 RULES = {
     "private_key": r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY(?: BLOCK)?-----(?:\\r|\\n|\s)*(?P<v>[A-Za-z0-9+/=]{16,}(?:(?:\\r|\\n|\s)+[A-Za-z0-9+/=]{8,})*)",
     "quoted": rf"""(?i){NAME}[\w\-]*["'`\]]*\s*(?:=>|:=|[:=,])\s*[a-z]?{QUOTED}""",
     "bare": rf"(?i){NAME}[\w\-]*\s*[=:]\s*{BARE}",
     "env": rf"(?i)\b(?:env|export|set)\s+\w*{NAME}\w*\s+{BARE}",
-    "xml": rf"""(?i){NAME}\w*["']\s+value\s*=\s*["'](?P<v>[^"'\n]{{6,400}})["']""",
-    "address": r"""(?i)://[^\s/:@"']*:(?P<v>[^\s/@"'{}$]{4,400})@""",
-    "header": r"(?i)\b(?:basic|bearer) {1,4}(?P<v>[A-Za-z0-9+/=._\-]{16,4000})",
-    "curl": r"""(?i)\bcurl\b[^\n]{0,400}?\s(?:-u|--user)[ =]['"]?[^\s:'"]{1,200}:(?P<v>[^\s'"]{4,400})""",
-    "shell_pass": r"""(?i)\bsshpass\s+-p\s*['"]?(?P<v>[^\s'"]{4,400})""",
-    "client_pass": r"""(?i)\b(?:mysql|psql|redis-cli|mongo)[^\n]{0,400}?\s(?:-p|-a )(?P<v>[^\s'"]{6,400})""",
-    "sql": r"""(?i)\bidentified by\s+['"](?P<v>[^'"\n]{4,400})['"]""",
-    "login_call": r"""(?i)(?:login|authenticate|sign_?in|connect)\(\s*["'][^"'\n]{1,200}["']\s*,\s*["'](?P<v>[^"'\n]{4,400})["']""",
+    "xml": rf"""(?i){NAME}\w*["']\s+value\s*=\s*["'](?P<v>[^"'\n]{{6,}})["']""",
+    "address": r"""(?i)://[^\s/:@"']*:(?P<v>[^\s/@"'{}$]{4,})@""",
+    "header": r"(?i)\b(?:basic|bearer) {1,4}(?P<v>[A-Za-z0-9+/=._\-]{16,})",
+    "curl": r"""(?i)\bcurl\b[^\n]{0,400}?\s(?:-u|--user)[ =]['"]?[^\s:'"]{1,200}:(?P<v>[^\s'"]{4,})""",
+    "shell_pass": r"""(?i)\bsshpass\s+-p\s*['"]?(?P<v>[^\s'"]{4,})""",
+    "client_pass": r"""(?i)\b(?:mysql|psql|redis-cli|mongo)[^\n]{0,400}?\s(?:-p|-a )(?P<v>[^\s'"]{6,})""",
+    "sql": r"""(?i)\bidentified by\s+['"](?P<v>[^'"\n]{4,})['"]""",
+    "login_call": r"""(?i)(?:login|authenticate|sign_?in|connect)\(\s*["'][^"'\n]{1,200}["']\s*,\s*["'](?P<v>[^"'\n]{4,})["']""",
     "comparison": rf"(?i)\b(?:given|entered|supplied|typed|\w*{NAME})\s*={{2,3}}\s*{QUOTED}",
-    "note": r"(?i)\b(?:login|password|account|credentials?)\b[^\n:]{0,200}:\s*\S{1,100} / (?P<v>\S{6,400})",
-    "split": r"""(?P<q>["'`])(?P<v>[\w+/=.!#%*?\-]{4,400})(?:" \+ "|' \+ '|` \+ `|"\+"|'\+'|" "|' '|" \. "|' \. ')(?P<w>[\w+/=.!#%*?\-]{4,400})(?P=q)""",
+    "note": r"(?i)\b(?:login|password|account|credentials?)\b[^\n:]{0,200}:\s*\S{1,100} / (?P<v>\S{6,})",
+    "split": r"""(?P<q>["'`])(?P<v>[\w+/=.!#%*?\-]{4,})(?:" \+ "|' \+ '|` \+ `|"\+"|'\+'|" "|' '|" \. "|' \. ')(?P<w>[\w+/=.!#%*?\-]{4,})(?P=q)""",
     "webhook": r"(?i)https?://hooks?\.[^\s\"']{4,300}/(?P<v>[A-Za-z0-9]{16,})",
-    "hashed_pair": r"""(?i)(?:md5|sha1|sha256|b64encode)\(\s*b?["'][\w.\-]{1,100}:(?P<v>[^"'\s]{8,400})["']""",
+    "hashed_pair": r"""(?i)(?:md5|sha1|sha256|b64encode)\(\s*b?["'][\w.\-]{1,100}:(?P<v>[^"'\s]{8,})["']""",
     "known_form": r"(?P<v>gh[pousr]_[A-Za-z0-9]{30,}|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|xox[abprs]-[A-Za-z0-9-]{10,}|[srp]k_(?:live|test)_\w{16,}|AIza[\w-]{35}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})",
 }
 #: In reports of a scanner the value stands without its place: any word of the form of a credential. This requires no trigram.
-REPORT = {"report": r"(?<![\w<{])(?P<v>[^\s\"'`<>]{8,4000})"}
+REPORT = {"report": r"(?<![\w<{])(?P<v>[^\s\"'`<>]{8,})"}
 
 PLACEHOLDER = re.compile(r"(?i)example|change.?me|placeholder|your[-_ ]|insert|replace|dummy|redacted|masked|\bnone\b|\bnull\b|todo|x{6,}|\*{3,}|\.{3,}|…|#{4,}")
 REFERENCE = re.compile(r"^[$<{/\\]|^%[sd({]|^!?[a-z]+$|^\(|\$\{|\{\{|\}\}|^(?:env|vault|secret|ref|ssm|arn|file|https?|data|urn):|^(?:process|os|settings|config|self|this|request)\.")
 DIGEST = re.compile(r"(?i)^(?:sha\d+|md5)[-:=]|^[a-z_]+:[0-9a-f]{8,}$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
-_WORD = r"(?:[a-z]+|[A-Z]+|(?:[A-Z][a-z]{2,}|[a-z]{2,})(?:[A-Z][a-z]{2,})*)"
-WORDS = re.compile(rf"^{_WORD}(?:[_.\-: /,]+{_WORD})*[_.\-:?!,]*$")
+#: A run of letters is one word or none: nothing is tried twice, however long the value.
+_WORD = r"(?>[a-z]+(?![A-Za-z])|[A-Z]+(?![A-Za-z])|(?:[A-Z][a-z]{2,}|[a-z]{2,})(?:[A-Z][a-z]{2,})*)"
+WORDS = re.compile(rf"^{_WORD}(?:[_.\-: /,]++{_WORD})*+[_.\-:?!,]*$")
 COMPILED = compile_rules(RULES)
 REPORT_COMPILED = compile_rules(REPORT)
 WANTED = set().union(*(trigrams_of(q) for _, q in COMPILED.values()))

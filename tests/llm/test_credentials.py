@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 
@@ -60,3 +62,30 @@ def test_table(spark):
     out = {r["id"]: r for r in C.scan(d).collect()}
     assert out["3"]["snippet"] == "" and out["2"]["snippet"] is None and out["4"]["snippet"].startswith("a = 1\n") and out["4"]["snippet"].endswith(C.HIDDEN + '"')
     assert C.found(d.limit(0)).count() == 0
+
+
+LONG = [
+    'token = "{}"', "TOKEN={}", "export API_TOKEN {}", '<add key="AdminPassword" value="{}" />', "https://user:{}@host.example/x", "Authorization: Bearer {}", "curl -u bob:{} https://h.example", "sshpass -p '{}' ssh h", "mysql -u bob -p{} db", "ALTER USER bob IDENTIFIED BY '{}'",
+    'client.login("bob", "{}")', 'if given == "{}": ok()', "# login for host.example: bob / {}", 'k = "{}" + "{}"', 'h = md5("bob:{}")', "Matched: {}",
+]
+
+
+@pytest.mark.parametrize("size", [401, 500, 5000])
+@pytest.mark.parametrize("form", LONG)
+def test_long_values_are_found_and_hidden_whole(form, size):
+    rng = random.Random(size)
+    values = ["".join(rng.choices(string.ascii_letters + string.digits, k=size)) for _ in range(form.count("{}"))]
+    text = form.format(*values)
+    want = form.replace("{}", C.HIDDEN)
+    if not form.startswith("Matched"):
+        (f, _), = C.scan_batch([text], [None])
+        assert C.redact(text, f) == want
+    (_, f), = C.scan_batch(["x"], [text])
+    hidden = C.redact(text, f)
+    assert f and not any(v[i : i + 8] in hidden for v in values for i in range(size - 7))
+
+
+@pytest.mark.parametrize("size", [30, 3000])
+def test_long_plain_words_are_judged_in_linear_time(size):
+    words = " ".join(["some", "Words", "fooBar", "ABC"] * size)
+    assert C.WORDS.match(words) and C.WORDS.match(words + "?!") and not C.WORDS.match(words + " x1")
