@@ -150,7 +150,7 @@ class Pair:
             f += [f"end:{self.end}", *(f"open{k}:{self.end.startswith('open')}:{self.foreign}" for k in range(4))] if last else []
             f += [f"whole{k}:{self.foreign}" for k in range(2)] + [f"declines{k}:{d}" for k in range(3)]
             if not code:
-                w = [x for x in t[:60] if not re.search(r"[\d/_.]", x)]
+                w = [x for x in t if not re.search(r"[\d/_.]", x)]
                 f += [f"w:{x}" for x in w] + [f"b:{a} {b}" for a, b in zip(w, w[1:])] + [f"start:{' '.join(w[:2])}"]
             out.append(np.unique(np.array([xxhash.xxh64_intdigest(x) % N_FEATURES for x in f])))
         return out

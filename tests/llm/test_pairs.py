@@ -60,3 +60,11 @@ def test_table(spark):
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want) and len(got.keys() - want.keys()) <= 2
     assert "x2" not in got and "y1" not in got
     assert P.defective_pairs(m.limit(0)).count() == 0
+
+
+def test_all_words_of_a_long_clause_are_read():
+    import numpy as np
+
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in "klmn"]
+    one, two = (P.Pair(Q, " ".join([*words, w, "done."])).features() for w in ("zebra", "walrus"))
+    assert len(one) == len(two) == 1 and not np.array_equal(one[0], two[0])
