@@ -40,7 +40,9 @@ SEED_ORDINARY = (
     "this damn bug took hours", "what a crap default", "a stupid mistake in the loop", "the dumb version is faster", "an ugly hack", "the word list of the filter has insults such as idiot", "a user was reported for insults", "the rules forbid hate speech, threats and sexual content",
     "the score says whether a comment is toxic", "the column sex has one letter", "strip the string and dump the rest", "penetration test", "male and female connectors", "the trash folder is emptied", "inject the dependency", "dependency hell", "execute the orphan task", "blow up the stack",
 )
-CODE = re.compile(r"`[^`\n]{1,200}`|(?<![\w/])[\w.\-]+(?:/[\w.\-]+)+|\bhttps?://\S+|\b[A-Za-z]+_\w+|\b[A-Z][a-z]+[A-Z]\w*")
+CODE = re.compile(r"`[^`\n]{1,200}`|(?<![\w/])[\w.\-]+(?:/[\w.\-]+)+|\bhttps?://\S+|\b[A-Za-z]+_\w+|\b(?=\w*[a-z]{2})[A-Z][a-z]+[A-Z]\w*")
+#: Single letters joined by '_': a disguise, no name of code.
+UNDERSCORED = re.compile(r"(?<![^\W_])[^\W\d_](?:_[^\W\d_])+(?![^\W_])")
 #: Letters set apart by one kind of sign.
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:-[^\W\d_])+|(?:\.[^\W\d_])+(?:\.(?=\s+[^\W\d_]))?|(?:_[^\W\d_])+|(?: [^\W\d_]){2,})(?![^\W_])")
 LEETED = re.compile(r"(?<![\w@$!|])(?=[^\W\d_]*[\d@$!|])(?=[\d@$!|_]*[^\W\d_])[\w@$!|]+")
@@ -63,7 +65,7 @@ def plain(text: str) -> str:
     """text in lower case, without disguises and with names of code and numbers masked."""
     latin = text.isascii()
     t = text if latin else unicodedata.normalize("NFKC", text).translate(FORMAT)
-    t = CODE.sub("§", t).lower()
+    t = CODE.sub("§", UNDERSCORED.sub(lambda m: m[0].replace("_", ""), t)).lower()
     if not latin:
         t = FOREIGN.sub(_latin, t).translate(LATIN)
     t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), t.replace("- -", " "))

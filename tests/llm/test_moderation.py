@@ -56,3 +56,8 @@ def test_empty_tables(spark):
     m = M.train(d, labels.limit(0))
     assert {r["doc_id"]: r["toxic"] for r in M.score_documents(d, m).collect()} == {1: True, 2: False}  # by the seeds alone
     assert M.score_documents(d.limit(0), M.train(d.limit(0), labels)).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b"), [("you are an i_d_i_o_t", "you are an idiot"), ("you I_D_I_O_T_", "you idiot_"), ("you IdIoT, StUpId", "you idiot, stupid"), ("you і_d_і_о_t", "you idiot"), ("see get_user, x_max, FooBar and MyIdiot", "see §, §, § and §")])
+def test_disguises_that_look_like_code(a, b):
+    assert M.plain(a) == M.plain(b)
