@@ -237,14 +237,14 @@ def labelled(labels: DataFrame, most: int) -> DataFrame:
     return v.select("doc_id", (F.col("t") * 2 > F.col("n")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def train(documents: DataFrame, labels: DataFrame, most_docs: int = 8000, most_windows: int = 400) -> Model:
-    """A model from at most most_docs labelled documents, of each at most most_windows windows (chosen by a hash). No labels: the seeds alone."""
+def train(documents: DataFrame, labels: DataFrame, most_docs: int = 8000) -> Model:
+    """A model from all windows of at most most_docs labelled documents (chosen by a hash). No labels: the seeds alone."""
     ids = cut(labelled(labels, most_docs))
     d = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most most_docs rows of two numbers
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ws = [sorted(set(windows(t)), key=xxhash.xxh64_intdigest)[:most_windows] for t in pdf["text"]]
+            ws = [sorted(set(windows(t)), key=xxhash.xxh64_intdigest) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "ws": ws})
 
     rows = d.mapInPandas(cut_up, "doc_id long, toxic boolean, ws array<string>").toPandas()

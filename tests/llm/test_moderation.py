@@ -61,3 +61,14 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize(("a", "b"), [("you are an i_d_i_o_t", "you are an idiot"), ("you I_D_I_O_T_", "you idiot_"), ("you IdIoT, StUpId", "you idiot, stupid"), ("you і_d_і_о_t", "you idiot"), ("see get_user, x_max, FooBar and MyIdiot", "see §, §, § and §")])
 def test_disguises_that_look_like_code(a, b):
     assert M.plain(a) == M.plain(b)
+
+
+def test_long_labelled_documents_keep_all_windows(spark, monkeypatch):
+    long = "\n".join(f"the {a}{b} module reads the {b}{a} table" for a in ("alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "theta") for b in (x + y for x in "bdfgklmnpr" for y in "aeiou")) + "\nyou are a useless idiot"
+    docs = spark.createDataFrame([(1, long), (2, "the cache is closed")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "a", "abusive"), (2, "a", "clean")], "doc_id long, annotator string, label string")
+    seen = {}
+    monkeypatch.setattr(M, "fit", lambda rows, common: seen.update({i: (t, set(w)) for i, t, w in rows}))
+    M.train(docs, labels)
+    want = set(M.windows(long))
+    assert len(want) > 400 and seen[1] == (True, want) and seen[2][0] is False
