@@ -34,7 +34,7 @@ from corvane.session import cut, shared_dir
 class Search:
     k: int = 5
     min_similarity: float | None = 0.90  # None: the k most similar of every vector, however far, by an exact pass
-    probes: int = 5  # lists probed by each vector; 5 find 99.87 % of the pairs above 0.90 on check_l, 4 find 99.70 %
+    probes: int = 5  # lists probed by each vector, of up to 1,024 (see probes_of); 5 find 99.87 % of the pairs above 0.90 on check_l, 4 find 99.70 %
     list_size: int = 256  # vectors in a list, on average
     max_lists: int = 8192  # bound of the table of centres
     fit_rows: int = 65_536  # bound of the sample on which centres are fitted; at most 32 rows for each centre are taken
@@ -130,7 +130,7 @@ def near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
     sample = reps.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).select("vec").limit(2 * s.fit_rows).toPandas()["vec"]
     x = np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, dim)
     centres = fit_centres(x, lists, s.seed) if len(x) else np.zeros((1, dim), np.float32)
-    probes = min(s.probes, len(centres))
+    probes = probes_of(len(centres), s)
     # how many tiles a list needs, from the sample's share; a wrong estimate costs time and no result
     homes = [(x[i : i + 2048] @ centres.T).argmax(1) for i in range(0, len(x), 2048)]
     size = np.bincount(np.concatenate(homes), minlength=len(centres)) / len(x) * n if homes else np.zeros(len(centres))
@@ -223,6 +223,11 @@ class Best:
         self.sim[u], self.member[u] = sim[top].reshape(-1, self.k), b[top].reshape(-1, self.k)
 
 
+def probes_of(lists: int, s: Search) -> int:
+    """Lists to probe of so many: s.probes, and one more for each doubling beyond 1,024."""
+    return min(lists, s.probes + int(np.ceil(np.log2(max(lists, 1024) / 1024))))
+
+
 def all_near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
     """(a, b, sim): for each class a the s.k other classes b with the highest similarity (all others if they are fewer), exactly."""
     spark = reps.sparkSession

@@ -119,3 +119,16 @@ def test_exact_pass_over_tiles_and_few_vectors(spark):
     assert a == b and len(a) == 5 * len(x)
     for n, want in ((0, 0), (1, 0), (3, 6)):
         assert N.nearest(table(spark, ids[:n], x[:n]), "chunk_id", "embedding", s=N.Search(min_similarity=None)).count() == want
+
+
+def test_probes_follow_the_number_of_lists(spark, monkeypatch):
+    assert [N.probes_of(n, N.Search()) for n in (1, 10, 900, 1024, 1025, 2048, 8192)] == [1, 5, 5, 5, 6, 6, 8]
+    x = np.concatenate([families(300, 5, seed=17, noise=0.21), np.random.default_rng(18).standard_normal((600, 64))])
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    s = N.Search(list_size=1, probes=1)  # 2,100 lists: 3 probes instead of 1
+    want = brute(ids, x, 5, 0.9)
+    few = lambda lists, s: min(lists, s.probes)
+    hit = lambda: len({tuple(r) for r in N.near_pairs(table(spark, ids, x), "chunk_id", "embedding", s=s).collect()} & want)
+    more = hit()
+    monkeypatch.setattr(N, "probes_of", few)
+    assert len(want) > 300 and more > hit()
