@@ -65,13 +65,50 @@ def test_empty_table(spark):
     assert H.classify(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("text", "head"), [("# a\n# b\nx = 1\n", "# a\n# b\n"), ("/* a\n b */\n#include <x>\n", "/* a\n b */"), ("x = 1", ""), ("", "")])
-def test_split_header(text, head):
-    h, b = H.split_header(text)
-    assert h + b == text and h.strip() == head.strip()
+@pytest.mark.parametrize(
+    ("text", "blocks"),
+    [("# a\n# b\nx = 1\n", ["# a\n# b"]), ("/* a\n b */\n#include <x>\n", ["/* a\n b */"]), ("x = 1", []), ("", []), ("int a;\n\n  // one\n  // two\nint b; // no block\n/* open", ["// one\n  // two", "/* open"]), (";a=1\n;b=2", []), ("-- q\nselect 1", ["-- q"])],
+)
+def test_split_comments(text, blocks):
+    got, code = H.split_comments(text)
+    assert got == blocks and all(b not in code for b in blocks)
 
 
-def test_masked_features_leave_out_the_header():
-    t = "# Code generated by Tool. DO NOT EDIT.\nx = 1\n"
-    a, b = H.features("a.py", 5, 1, t)[0], H.features("a.py", 5, 1, t, mask_header=True)[0]
-    assert set(b) < set(a) and all(i >= H.DIMS["header"] for i in b)
+def test_many_open_comments_take_linear_time():
+    text = "/* a\n" * 100_000 + '"' * 100_000
+    assert len(H.split_comments(text)[0]) == 1
+
+
+def test_masking_leaves_out_all_comments():
+    t = "x = 1\n# Code generated by Tool. DO NOT EDIT.\ny = 2\n# plain\n"
+    f = H.features("a.py", 5, 1, t)
+    assert len(f.blocks) == 2 and all((i < H.DIMS["comment"]).all() for i, _ in f.blocks) and (f.code[0] >= H.DIMS["comment"]).all()
+
+
+@pytest.mark.parametrize("text", ["// Code generated by protoc. DO NOT EDIT.", "# This file is auto-generated, never modify it by hand.", "/* built by the schema compiler */", "// changes here will be lost", "# regenerated from x.yaml", "// must not be edited manually"])
+def test_banners_of_tools(text):
+    assert H.banner_labels([text]) == {"generated"}
+
+
+@pytest.mark.parametrize("text", ["/*! x v3.1.0 | https://x.example | Released under the MIT licence */", "// (c) The Example Authors", "# vendored from https://x.example at 3f2a", "/* @license y */", "# Copied verbatim from lib 2.0"])
+def test_banners_of_third_parties(text):
+    assert H.banner_labels([text]) == {"vendored"}
+
+
+@pytest.mark.parametrize("text", ["# Writes the client. Never edit its output, edit the templates here.", "// Do not change the order of these calls without asking", "// replaces the old vendored copy of x", "// created by Ann on 2020-01-02", "# ids are generated later", "# needs version 3.2 or later", "# Copyright (c) our team."])
+def test_comments_of_people(text):
+    assert not H.banner_labels([text])
+
+
+def test_banner_far_down_in_other_words(spark):
+    """Rows for fitting have banners at the top only; rows that are judged have them anywhere, in words of their own."""
+    r = random.Random(4)
+    rows = [x for x in make(900, 3)]
+    late = []
+    for i in range(40):
+        body = hand(r)
+        at = body.index("\n\n", len(body) // 2)
+        banner = r.choice(["# Code generated by Maker from model.xml. DO NOT EDIT.", "# @generated by maker", "# Autogenerated file: manual edits are overwritten by the next run"])
+        late.append((f"late{i}", f"r{i % 23}", f"src/{r.choice(NAMES)}/{r.choice(NAMES)}_{i}.py", 900, 30, body[:at] + f"\n\n{banner}\n" + body[at:], True, "generated"))
+    got = {x["id"] for x in H.classify(spark.createDataFrame(rows + late, SCHEMA)).collect()}
+    assert sum(x[0] in got for x in late) >= 38
