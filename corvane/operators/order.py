@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def parts_for(df: DataFrame, rows_a_part: int = 1_000_000, least: int = 64) -> int:
+    """Into how many salts or buckets the rows of df are to be dealt, so that one of a third of all rows has about rows_a_part; counts df."""
+    return max(least, -(-df.count() // rows_a_part))
+
+
 def any_rank(df: DataFrame, keys: list[str], id_cols: list[str], out: str, salts: int = 64) -> DataFrame:
     """Adds out: numbers 0, 1, 2 ... within keys, each once, in an order of no meaning that is the same in each run.
 
@@ -44,44 +49,55 @@ def prefix_sum(df: DataFrame, keys: list[str], position: Column, id_cols: list[s
     return r.withColumn(out, F.col(out) + F.col(o)).drop(p, b, "__b2", o, *[f"__k_{k}" for k in keys])
 
 
-def _in_parts(df: DataFrame, key: str, at: str, rows_a_part: int) -> DataFrame:
-    """Adds __us (at in microseconds) and __part: the time span of each key cut into parts of about rows_a_part rows, if they came evenly."""
-    us = F.unix_micros(F.col(at))
-    span = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.min(us).alias("__t0"), F.max(us).alias("__t1"))
-    big = span.where(F.col("__n") > rows_a_part)
-    d = df.withColumn("__us", us).join(big, F.col(key) == F.col("__k"), "left")
-    width = F.greatest(F.lit(1.0), (F.col("__t1") - F.col("__t0") + 1) / F.ceil(F.col("__n") / rows_a_part))
-    return d.withColumn("__part", F.coalesce(F.floor((F.col("__us") - F.col("__t0")) / width), F.lit(0)).cast("long")).drop("__k", "__n", "__t0", "__t1")
+def _in_parts(df: DataFrame, key: str, order: list[str], rows_a_part: int) -> tuple[DataFrame, bool]:
+    """(df with __part, whether any key has several parts).
+
+    Keys of up to rows_a_part rows have the one part 0. The rows of larger keys are put into ranges of key and order, whose bounds are
+    quantiles: neither bursts nor a few rows far away make a large part. Each range is written with its number before it is used.
+    """
+    from corvane.session import cut
+
+    big = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_a_part)
+    n = big.agg(F.sum("__n")).first()[0]
+    if not n:
+        return df.withColumn("__part", F.lit(0)), False
+    is_big = df[key] == F.col("__k")
+    hot = df.join(big, is_big, "left_semi").repartitionByRange(max(2, -(-n // rows_a_part)), key, *order)
+    return df.join(big, is_big, "left_anti").withColumn("__part", F.lit(0)).unionByName(cut(hot.withColumn("__part", F.spark_partition_id()))), True
 
 
-def previous_in_order(df: DataFrame, key: str, at: str, then: list[str], carry: list[str], prefix: str = "prev_", rows_a_part: int = 50_000) -> DataFrame:
-    """Adds prefix + c for each c of carry: its value in the row before, within key, in order of at (a timestamp) and then.
+def previous_in_order(df: DataFrame, key: str, at: str, then: list[str], carry: list[str], prefix: str = "prev_", rows_a_part: int = 1_000_000) -> DataFrame:
+    """Adds prefix + c for each c of carry: its value in the row before, within key, in order of at (nulls last) and then.
 
     Within a part (see _in_parts) the row before is found by a window; the first row of a part takes the last row of the part
-    before, from a table that has one row for each part. prefix + "exists" says whether there is a row before.
+    before, from a table that has one row for each part of a large key. prefix + "exists" says whether there is a row before.
     """
-    d, order = _in_parts(df, key, at, rows_a_part), ["__us", *then]
+    d, order = df.withColumn("__none", F.col(at).isNull()), ["__none", at, *then]
+    d, several = _in_parts(d, key, order, rows_a_part)
     w = Window.partitionBy(key, "__part").orderBy(*order)
     packed = F.struct(*[F.col(c).alias(c) for c in carry])
-    last = d.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.max_by(packed, F.struct(*order)).alias("__last"))
-    last = last.select("__k", "__p", F.lag("__last").over(Window.partitionBy("__k").orderBy("__p")).alias("__before")).where(F.col("__before").isNotNull())
-    d = d.withColumn("__lag", F.lag(packed).over(w)).withColumn("__first", F.row_number().over(w) == 1)
-    d = d.join(last, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left")
-    d = d.withColumn("__prev", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag")))
+    r = d.withColumn("__prev", F.lag(packed).over(w))
+    if several:
+        last = d.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.max_by(packed, F.struct(*order)).alias("__last"))
+        last = last.select("__k", "__p", F.lag("__last").over(Window.partitionBy("__k").orderBy("__p")).alias("__before")).where(F.col("__before").isNotNull())
+        r = r.withColumn("__first", F.row_number().over(w) == 1).join(last, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left")
+        r = r.withColumn("__prev", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))).drop("__first", "__k", "__p", "__before")
     for c in carry:
-        d = d.withColumn(prefix + c, F.col("__prev")[c])
-    return d.withColumn(prefix + "exists", F.col("__prev").isNotNull()).drop("__us", "__part", "__lag", "__first", "__k", "__p", "__before", "__prev")
-
-
-def number_in_order(df: DataFrame, key: str, at: str, then: list[str], out: str, rows_a_part: int = 50_000) -> DataFrame:
-    """Adds out: 1, 2, 3 ... within key in order of at (a timestamp) and then; parts as in previous_in_order, whose counts are carried."""
-    d = _in_parts(df, key, at, rows_a_part)
-    n = d.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    off = n.select("__k", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    w = Window.partitionBy(key, "__part").orderBy("__us", *then)
-    d = d.withColumn(out, F.row_number().over(w).cast("long")).join(off, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left")
-    return d.withColumn(out, F.col(out) + F.col("__off")).drop("__us", "__part", "__k", "__p", "__off")
+        r = r.withColumn(prefix + c, F.col("__prev")[c])
+    return r.withColumn(prefix + "exists", F.col("__prev").isNotNull()).drop("__none", "__part", "__prev")
+
+
+def number_in_order(df: DataFrame, key: str, at: str, then: list[str], out: str, rows_a_part: int = 1_000_000) -> DataFrame:
+    """Adds out: 1, 2, 3 ... within key in order of at (nulls last) and then; parts as in previous_in_order, whose counts are carried."""
+    d, order = df.withColumn("__none", F.col(at).isNull()), ["__none", at, *then]
+    d, several = _in_parts(d, key, order, rows_a_part)
+    r = d.withColumn(out, F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)).cast("long"))
+    if several:
+        n = d.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        off = n.select("__k", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+        r = r.join(off, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left").withColumn(out, F.col(out) + F.coalesce("__off", F.lit(0))).drop("__k", "__p", "__off")
+    return r.drop("__none", "__part")
 
 
 def rank_spread(df: DataFrame, keys: list[str], order: list[Column], out: str, parts: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,6 +25,7 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
@@ -31,20 +33,23 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the session has it, else one made for this (local) session."""
+    """The folder that all executors share: spark.checkpoint.dir where the session has it. A local session without it gets a folder of its own, a cluster an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if d:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(d)
-        return d
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"corvane-{uuid.uuid4().hex[:12]}"))
-    return sc.getCheckpointDir()
+    if not d and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = os.path.join(tempfile.gettempdir(), f"corvane-{uuid.uuid4().hex[:12]}")
+    if d and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return d or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: later readers neither recompute them nor lose them with an executor."""
+    """The same rows, written once to the shared folder: later readers neither recompute them nor lose them with an executor.
+
+    Sessions of build_session delete the files when no query refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
