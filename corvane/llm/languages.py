@@ -23,7 +23,7 @@ NAMES = {
 }
 _ASK = re.compile(r"(?i)\b(?:answer|reply|respond|write|explain|antwort\w*|schreib\w*|respond[ea]\w*|contest[ae]\w*|répond\w*|écri\w*|please|bitte|por favor|s'il)\b[^.?!\n]{0,40}?\b(?:in|auf|en|em|na|no|into)\s+(?P<n>[^\W\d_]+)")
 _NAME = {n: k for k, ns in NAMES.items() for n in ns.split("|")}
-_CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`|\S*[/\\_]\S*|\b\w+\.\w+\b|\b[A-Z]\w*[A-Z]\w*|\bhttps?:\S+", re.S)
+_CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`|(?<!\S)\S*[/\\_]\S*|\b\w+\.\w+\b|\b[A-Z]\w*[A-Z]\w*|\bhttps?:\S+", re.S)
 _SCRIPTS = [("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("he", re.compile(r"[֐-׿]"))]
 
 
