@@ -8,8 +8,12 @@ by more than a test allows that holds for random rotations; only survivors see t
 Exact copies (after scaling, to five decimals) are one class, represented once: a class of any size costs the scan of one
 vector. Lists that are expected to be large are dealt to tiles, and tiles of members meet tiles of queries in tasks of bounded size.
 
-Without a least similarity nothing may be left out: far neighbours lie in no few lists. Then tiles of queries meet all vectors, read
-in blocks from the shared folder, and a candidate is dropped only if it is below its query's k-th best so far. Exact, but quadratic.
+Centres have two levels: a few top centres are fitted on the driver, on a sample of fixed size, and the centres of each top cell by a
+task of its own; a vector is compared with the centres of its nearest top cells only.
+
+Without a least similarity the radius is each query's k-th best so far. Neighbours may be far then and lie in many lists, so the lists
+are larger (their number grows with the root of the vectors, and so does the work of a query), vectors are stored by list in the
+shared folder, and tiles of queries that lie together read the lists they probe from there: no vector is copied for its probes.
 """
 
 from __future__ import annotations
@@ -33,16 +37,18 @@ from corvane.session import cut, shared_dir
 @dataclass(frozen=True)
 class Search:
     k: int = 5
-    min_similarity: float | None = 0.90  # None: the k most similar of every vector, however far, by an exact pass
-    probes: int = 5  # lists probed by each vector, of up to 1,024 (see probes_of); 5 find 99.87 % of the pairs above 0.90 on check_l, 4 find 99.70 %
-    list_size: int = 256  # vectors in a list, on average
-    max_lists: int = 8192  # bound of the table of centres
-    fit_rows: int = 65_536  # bound of the sample on which centres are fitted; at most 32 rows for each centre are taken
+    min_similarity: float | None = 0.90  # None: the k most similar of every vector, however far
+    probes: int = 5  # lists probed by each vector, of up to 1,024 (see probes_of)
+    list_size: int = 256  # vectors in a list, on average, as long as there are fewer than 4 * sqrt(vectors) lists
+    max_lists: int = 131_072  # bound of the table of centres, which is broadcast: 33 MB; reached at a billion vectors
+    fit_rows: int = 16_384  # bound of the sample on which top centres are fitted
+    top_probes: int = 16  # top cells whose centres a vector is compared with; on check_l 16 of 30 find 99.94 % of the pairs above 0.90, 8 find 99.81 %
     tile: int = 4096  # vectors in a tile
     block: int = 16  # columns in a block
     epsilon: float = 2.1  # width of the test: larger abandons less
     seed: int = 7
-    exact_tile: int = 8192  # queries that meet all vectors in a task of the exact pass
+    far_probes: int = 24  # lists probed where there is no least similarity
+    exact_tile: int = 8192  # queries in a task of the search without a least similarity
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -122,19 +128,84 @@ def unit_vectors(df: DataFrame, item: str, vector: str, dim: int, seed: int) ->
     return d.mapInArrow(scale, "item string, class long, vec binary")
 
 
+@dataclass
+class Centres:
+    """Centres of lists in two levels: those of top cell t are flat[first[t] : first[t + 1]]. share: each list's share of the sample."""
+
+    tops: np.ndarray
+    flat: np.ndarray
+    first: np.ndarray
+    share: np.ndarray
+
+    def nearest(self, v: np.ndarray, probes: int, reach: int) -> np.ndarray:
+        """Numbers of the nearest lists of each vector, the nearest first; -1 where the top cells in reach have too few."""
+        probes = min(probes, len(self.flat))
+        if len(self.tops) <= reach:
+            s, ids = v @ self.flat.T, None
+        else:
+            near = np.argpartition(-(v @ self.tops.T), reach - 1, axis=1)[:, :reach]
+            width = int(np.diff(self.first).max())
+            s, ids = np.full((len(v), reach * width), -np.inf, np.float32), np.full((len(v), reach * width), -1, np.int32)
+            for t in np.unique(near):
+                r, c = np.nonzero(near == t)
+                a, z = self.first[t], self.first[t + 1]
+                at = c[:, None] * width + np.arange(z - a)
+                s[r[:, None], at], ids[r[:, None], at] = v[r] @ self.flat[a:z].T, np.arange(a, z)
+        top = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(v), 1))
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+        return top if ids is None else np.take_along_axis(ids, top, 1)
+
+    def step(self, reach: int) -> int:
+        """Rows for which nearest stays within a few MB."""
+        width = len(self.flat) if len(self.tops) <= reach else reach * int(np.diff(self.first).max())
+        return int(np.clip(4_000_000 // width, 64, 2048))
+
+
+def fit_index(reps: DataFrame, n: int, dim: int, lists: int, s: Search) -> Centres:
+    """Centres of about so many lists for n vectors (class, vec).
+
+    Up to 64 lists are fitted at once. Else the driver fits sqrt(lists) top centres, on at most 2 * fit_rows vectors, and each top cell its share
+    of the lists, on about 32 vectors for each list; a cell gets at most four times the mean number of lists. The driver sees only centres.
+    """
+    of = lambda rows, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(1_000_000_000)) < int(np.ceil(1e9 * min(1.0, rows / max(1, n))))
+    sample = reps.where(of(s.fit_rows, 1)).select("class", "vec").limit(2 * s.fit_rows).toPandas().sort_values("class")["vec"]
+    x = np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, dim)
+    home = lambda v, c: np.concatenate([(v[i : i + 2048] @ c.T).argmax(1) for i in range(0, len(v), 2048)]) if len(v) else np.zeros(0, int)
+    if lists <= 64 or not len(x):
+        c = fit_centres(x, lists, s.seed) if len(x) else np.zeros((1, dim), np.float32)
+        return Centres(c.mean(0, keepdims=True), c, np.array([0, len(c)]), np.bincount(home(x, c), minlength=len(c)) / max(1, len(x)))
+    tops = fit_centres(x, int(round(np.sqrt(lists))), s.seed)
+    shared = reps.sparkSession.sparkContext.broadcast(tops)
+    rows = min(n, 32 * lists)
+    most = 4 * -(-lists // len(tops))
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = home(_floats(b.column(1), dim), shared.value).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), b.column(0), b.column(1)], names=["top", "class", "vec"])
+
+    def fit_cell(t: pa.Table) -> pa.Table:
+        t = t.sort_by("class")
+        v = _floats(t.column("vec"), dim)
+        k = int(np.clip(round(lists * len(v) / rows), 1, most))
+        c = fit_centres(v[: 64 * k], k, s.seed)
+        size = np.bincount(home(v, c), minlength=len(c))
+        return pa.table({"top": pa.array([t.column("top")[0].as_py()] * len(c), pa.int32()), "no": pa.array(range(len(c)), pa.int32()), "size": pa.array(size, pa.int64()), "vec": pa.array([r.tobytes() for r in c], pa.binary())})
+
+    cells = reps.where(of(rows, 2)).select("class", "vec").mapInArrow(cell, "top int, class long, vec binary").groupBy("top").applyInArrow(fit_cell, "top int, no int, size long, vec binary")
+    got = cells.toPandas().sort_values(["top", "no"])
+    flat = np.frombuffer(b"".join(map(bytes, got["vec"])), np.float32).reshape(-1, dim)
+    first = np.r_[0, np.cumsum(np.bincount(got["top"], minlength=len(tops)))]
+    return Centres(tops, flat, first, got["size"].to_numpy() / max(1, got["size"].sum()))
+
+
 def near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
     """(a, b, sim): for each class a up to s.k other classes b with the highest similarity of at least s.min_similarity."""
     n = reps.count()
-    lists = int(np.clip(-(-n // s.list_size), 1, s.max_lists))
-    share = min(1.0, min(s.fit_rows, max(2048, 32 * lists)) / max(1, n))
-    sample = reps.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).select("vec").limit(2 * s.fit_rows).toPandas()["vec"]
-    x = np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, dim)
-    centres = fit_centres(x, lists, s.seed) if len(x) else np.zeros((1, dim), np.float32)
-    probes = probes_of(len(centres), s)
+    centres = fit_index(reps, n, dim, int(np.clip(min(-(-n // s.list_size), 4 * np.sqrt(n)), 1, s.max_lists)), s)
+    probes = probes_of(len(centres.flat), s)
     # how many tiles a list needs, from the sample's share; a wrong estimate costs time and no result
-    homes = [(x[i : i + 2048] @ centres.T).argmax(1) for i in range(0, len(x), 2048)]
-    size = np.bincount(np.concatenate(homes), minlength=len(centres)) / len(x) * n if homes else np.zeros(len(centres))
-    tiles = np.maximum(1, np.ceil(size / s.tile)).astype(np.int64)
+    tiles = np.maximum(1, np.ceil(centres.share * n / s.tile)).astype(np.int64)
     shared = reps.sparkSession.sparkContext.broadcast((centres, tiles))
     out = pa.schema([("list", pa.int32()), ("qt", pa.int32()), ("mt", pa.int32()), ("role", pa.int8()), ("class", pa.int64()), ("vec", pa.binary())])
 
@@ -143,13 +214,13 @@ def near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
         for b in batches:
             keys, vec = b.column(0).to_numpy(), b.column(1)
             v = np.frombuffer(b"".join(vec.to_pylist()), np.float32).reshape(-1, dim)
-            step = int(np.clip(4_000_000 // len(c), 64, 2048))  # the similarities of a step stay within a few MB
+            step = c.step(s.top_probes)
             for i in range(0, len(v), step):
-                sim = v[i : i + step] @ c.T
-                near = np.argpartition(-sim, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(sim), 1))
-                home = sim.argmax(1)
-                rows = np.repeat(np.arange(len(sim)), near.shape[1])
+                near = c.nearest(v[i : i + step], probes, s.top_probes)
+                rows = np.repeat(np.arange(len(near)), near.shape[1])
                 lst = near.ravel()
+                rows, lst = rows[lst >= 0], lst[lst >= 0]
+                home = near[:, 0]
                 is_home = lst == home[rows]
                 own = keys[i : i + step].view(np.uint64)
                 nt = t[lst]
@@ -186,7 +257,8 @@ def near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
         return pa.table({"a": a[top], "b": b[top], "sim": sim[top]})
 
     probed = reps.select("class", "vec").mapInArrow(assign, "list int, qt int, mt int, role byte, class long, vec binary")
-    pairs = probed.groupBy("list", "qt", "mt").applyInArrow(scan_list, "a long, b long, sim double")
+    tasks = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * probes * (4 * dim + 48) // (64 << 20)))  # about 64 MB each
+    pairs = probed.repartition(tasks, "list", "qt", "mt").groupBy("list", "qt", "mt").applyInArrow(scan_list, "a long, b long, sim double")
     best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= s.k).drop("r")
 
@@ -198,20 +270,40 @@ def _floats(vec: pa.Array, dim: int) -> np.ndarray:
 class Best:
     """The k most similar members so far of each query, by similarity and then key."""
 
-    def __init__(self, keys: np.ndarray, q: np.ndarray, k: int):
-        self.keys, self.q, self.k = keys, q, k
-        self.sim, self.member = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
-
-    def meet(self, keys: np.ndarray, m: np.ndarray, step: int = 1024, slice_pairs: int = 131_072) -> None:
-        """Takes in members. What single precision puts clearly below a query's k-th best is dropped; the rest is computed in double precision."""
-        for at in range(0, len(self.q), step):
-            s = self.q[at : at + step] @ m.T
-            least = self.sim[at : at + step, -1] - 1e-5
-            rows = np.flatnonzero(s.max(1) >= least)
-            i, j = np.nonzero(s[rows] >= least[rows, None])
-            i = rows[i] + at
+    def __init__(self, keys: np.ndarray, q: np.ndarray, s: Search):
+        self.keys, self.q, self.s, self.k = keys, q, s, s.k
+        self.sim, self.member = np.full((len(q), s.k), -np.inf), np.zeros((len(q), s.k), np.int64)
+
+    def meet(self, keys: np.ndarray, m: np.ndarray, who: np.ndarray | None = None, step: int = 1024, slice_pairs: int = 131_072) -> None:
+        """Takes in members, for the queries `who` (all, exactly, if it is None)."""
+        for at in range(0, len(self.q) if who is None else len(who), step):
+            w = np.arange(at, min(at + step, len(self.q))) if who is None else who[at : at + step]
+            i, j = self._candidates(self.q[w], m, self.sim[w, -1], who is not None)
             for x in range(0, len(i), slice_pairs):
-                self._add(i[x : x + slice_pairs], j[x : x + slice_pairs], keys, m)
+                self._add(w[i[x : x + slice_pairs]], j[x : x + slice_pairs], keys, m)
+
+    def _candidates(self, q: np.ndarray, m: np.ndarray, kth: np.ndarray, test: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may belong to the k best. Abandoned is what is further than the k-th best so far, by a test on the first blocks of
+        columns where it leaves few (below that, all columns at once cost less); the rest is compared in single precision with a margin."""
+        dim, d = q.shape[1], self.s.block
+        if test and d < dim and np.isfinite(kth).all():
+            r2 = 2 - 2 * kth
+            factor = lambda d: (d / dim) * (1 + self.s.epsilon / np.sqrt(d)) ** 2 if d < dim else 1 + 1e-5
+            part = (q[:, :d] ** 2).sum(1)[:, None] + (m[:, :d] ** 2).sum(1)[None, :] - 2 * (q[:, :d] @ m[:, :d].T)
+            i, j = np.nonzero(part <= (r2 * factor(d))[:, None])
+            if len(i) < 0.05 * part.size:
+                p = part[i, j]
+                while d < dim and len(i):
+                    z = min(d + self.s.block, dim)
+                    p = p + ((q[i, d:z] - m[j, d:z]) ** 2).sum(1)
+                    ok = p <= r2[i] * factor(z) + 1e-5
+                    i, j, p, d = i[ok], j[ok], p[ok], z
+                return i, j
+        s = q @ m.T
+        least = kth - 1e-5
+        rows = np.flatnonzero(s.max(1) >= least)
+        i, j = np.nonzero(s[rows] >= least[rows, None])
+        return rows[i], j
 
     def _add(self, i: np.ndarray, j: np.ndarray, keys: np.ndarray, m: np.ndarray) -> None:
         ok = self.keys[i] != keys[j]
@@ -222,6 +314,13 @@ class Best:
         top = _top(a, b, sim, self.k)
         self.sim[u], self.member[u] = sim[top].reshape(-1, self.k), b[top].reshape(-1, self.k)
 
+    def edges(self) -> pa.RecordBatch:
+        a, ok = np.repeat(self.keys, self.k), np.isfinite(self.sim).ravel()
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(self.member.ravel()[ok]), pa.array(self.sim.ravel()[ok])], schema=EDGE)
+
+
+EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+
 
 def probes_of(lists: int, s: Search) -> int:
     """Lists to probe of so many: s.probes, and one more for each doubling beyond 1,024."""
@@ -229,31 +328,68 @@ def probes_of(lists: int, s: Search) -> int:
 
 
 def all_near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
-    """(a, b, sim): for each class a the s.k other classes b with the highest similarity (all others if they are fewer), exactly."""
+    """(a, b, sim): for each class a the s.k other classes b with the highest similarity (all others if they are fewer).
+
+    There are sqrt(n) / 4 lists of about 4 * sqrt(n) vectors, stored by list; a tile of queries from neighbouring lists reads the s.far_probes
+    lists that each query is nearest to, in blocks, so a query is compared with about 4 * s.far_probes * sqrt(n) vectors. With at most
+    s.far_probes lists nothing is left out and the result is exact.
+    """
     spark = reps.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vectors_{uuid.uuid4().hex}"
-    reps.select("class", "vec").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+    n = reps.count()
+    centres = fit_index(reps, n, dim, int(np.clip(np.sqrt(n) / 4, 1, s.max_lists)), s)
+    lists = len(centres.flat)
+    exact, probes = lists <= s.far_probes, min(lists, s.far_probes)
+    reach = max(s.top_probes, -(-4 * probes * len(centres.tops) // lists))  # top cells that hold four times as many lists
+    a_bucket = -(-lists // 256)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for b in batches:
+            v, step = _floats(b.column(1), dim), c.step(reach)
+            home = np.concatenate([c.nearest(v[i : i + step], 1, reach)[:, 0] for i in range(0, len(v), step)]) if len(v) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array((home // a_bucket).astype(np.int32)), b.column(0), b.column(1)], names=["list", "bucket", "class", "vec"])
+
+    placed = reps.select("class", "vec").mapInArrow(assign, "list int, bucket int, class long, vec binary")
+    spread = F.pmod(F.xxhash64("class"), F.lit(max(1, -(-n // (256 * 100_000)))))  # a bucket of a third of all vectors is written by several tasks
+    placed.repartition(F.col("bucket"), spread).sortWithinPartitions("bucket", "list").write.partitionBy("bucket").option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(1 << 20)).parquet(path)
 
-    def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [(b.column(0).to_numpy(), _floats(b.column(1), dim)) for b in batches if b.num_rows]
         if not own:
             return
-        best = Best(np.concatenate([k for k, _ in own]), np.concatenate([v for _, v in own]), s.k)
+        c, best = shared.value, Best(np.concatenate([k for k, _ in own]), np.concatenate([v for _, v in own]), s)
+        step = c.step(reach)
+        near = np.concatenate([c.nearest(best.q[i : i + step], probes, reach) for i in range(0, len(best.q), step)])
+        order = np.argsort(near.ravel(), kind="stable")
+        asked, start = np.unique(near.ravel()[order], return_index=True)
+        who = dict(zip(asked.tolist(), np.split(order // near.shape[1], start[1:])))
+        who.pop(-1, None)
         fs, at = pa.fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-        members = pa.dataset.dataset(at, filesystem=fs, format="parquet")
-        width = 64  # the first blocks are small: until there are k, every member of a block is taken in
-        for b in members.to_batches(columns=["class", "vec"], batch_size=8192, batch_readahead=1, fragment_readahead=1, use_threads=False):
-            keys, v, x = b.column(0).to_numpy(), _floats(b.column(1), dim), 0
-            while x < len(v):
-                best.meet(keys[x : x + width], v[x : x + width])
-                x, width = x + width, min(2048, 4 * width)
-        a, ok = np.repeat(best.keys, s.k), np.isfinite(best.sim).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(best.member.ravel()[ok]), pa.array(best.sim.ravel()[ok])], schema=out)
-
-    stored = spark.read.parquet(path)
-    tiles = max(1, -(-stored.count() // s.exact_tile))
-    edges = cut(stored.repartition(tiles, "class").mapInArrow(scan_all, "a long, b long, sim double"))
+        demand: dict[int, int] = {}
+        for l, w in who.items():
+            demand[l // a_bucket] = demand.get(l // a_bucket, 0) + len(w)
+        for bucket in sorted(demand, key=lambda b: -demand[b]):  # the queries' own lists first: their k-th best is soon near
+            if fs.get_file_info(f"{at}/bucket={bucket}").type == pa.fs.FileType.NotFound:
+                continue
+            here = [l for l in who if l // a_bucket == bucket]
+            members = pa.dataset.dataset(f"{at}/bucket={bucket}", filesystem=fs, format="parquet")
+            for b in members.to_batches(columns=["list", "class", "vec"], filter=pa.dataset.field("list").isin(here), batch_size=8192, batch_readahead=1, fragment_readahead=1, use_threads=False):
+                if not b.num_rows:
+                    continue
+                lst, keys, v = b.column(0).to_numpy(), b.column(1).to_numpy(), _floats(b.column(2), dim)
+                edges = np.r_[0, np.flatnonzero(np.diff(lst)) + 1, len(lst)]
+                for i, z in zip(edges, edges[1:]):
+                    x, width = i, 64  # the first blocks are small: until there are k, every member of a block is taken in
+                    while x < z:
+                        best.meet(keys[x : min(z, x + width)], v[x : min(z, x + width)], None if exact else who[int(lst[i])])
+                        x, width = x + width, min(2048, 4 * width)
+        yield best.edges()
+
+    stored = spark.read.schema("list int, class long, vec binary").parquet(path)
+    tiles = max(1, -(-n // s.exact_tile))
+    edges = cut(stored.select("class", "vec", "list").repartitionByRange(tiles, "list", "class").select("class", "vec").mapInArrow(scan_lists, "a long, b long, sim double"))
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
     return edges
@@ -262,7 +398,7 @@ def all_near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
 def nearest(df: DataFrame, item: str, vector: str, dim: int = 64, s: Search = Search()) -> DataFrame:
     """(item, neighbour, similarity, rank): for each item up to s.k others with the highest cosine similarity, at least s.min_similarity.
 
-    If that is None, every item has the s.k most similar others, exactly (all others if they are fewer).
+    If that is None, every item has s.k others however far (all others if they are fewer): the most similar ones in the lists it probes.
     Vectors that are null, of another length, all zero or hold a null or NaN take no part; norms do not matter. An item that
     comes in several rows counts once for each different vector it has. Ties go to the smaller item. Copies of a vector are the
     nearest neighbours of each other with similarity 1: an item of a large class of copies gets s.k of them. An empty table gives no rows.

@@ -123,12 +123,39 @@ def test_exact_pass_over_tiles_and_few_vectors(spark):
 
 def test_probes_follow_the_number_of_lists(spark, monkeypatch):
     assert [N.probes_of(n, N.Search()) for n in (1, 10, 900, 1024, 1025, 2048, 8192)] == [1, 5, 5, 5, 6, 6, 8]
-    x = np.concatenate([families(300, 5, seed=17, noise=0.21), np.random.default_rng(18).standard_normal((600, 64))])
+
+
+def test_two_levels_of_centres_find_nearly_the_same(spark):
+    """Lists so small that there are many: recall of close pairs and of the nearest however far, against brute force."""
+    x = np.concatenate([families(400, 5, seed=17, noise=0.12), np.random.default_rng(18).standard_normal((2000, 64))])
     ids = [f"c{i:05d}" for i in range(len(x))]
-    s = N.Search(list_size=1, probes=1)  # 2,100 lists: 3 probes instead of 1
+    t = table(spark, ids, x).cache()
     want = brute(ids, x, 5, 0.9)
-    few = lambda lists, s: min(lists, s.probes)
-    hit = lambda: len({tuple(r) for r in N.near_pairs(table(spark, ids, x), "chunk_id", "embedding", s=s).collect()} & want)
-    more = hit()
-    monkeypatch.setattr(N, "probes_of", few)
-    assert len(want) > 300 and more > hit()
+    reps = N.unit_vectors(t, "chunk_id", "embedding", 64, 7)
+    c = N.fit_index(reps, len(x), 64, 250, N.Search())
+    assert len(c.tops) == 16 and 200 < len(c.flat) < 320 and c.first[-1] == len(c.flat) and abs(c.share.sum() - 1) < 1e-9
+    got = {tuple(r) for r in N.near_pairs(t, "chunk_id", "embedding", s=N.Search(list_size=16, top_probes=6)).collect()}
+    assert len(want) > 1000 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+    flat = N.fit_centres(x[:500].astype(np.float32) / np.linalg.norm(x[:500], axis=1, keepdims=True).astype(np.float32), 30, 1)
+    two = N.Centres(flat[:3], flat, np.array([0, 10, 20, 30]), np.ones(30) / 30)
+    v = np.random.default_rng(3).standard_normal((50, 64)).astype(np.float32)
+    assert (two.nearest(v, 4, 3) == np.argsort(-(v @ flat.T), axis=1)[:, :4]).all()
+    few = two.nearest(v, 12, 1)
+    assert few.shape == (50, 10) and all(len({l // 10 for l in r if l >= 0}) == 1 for r in few)
+
+
+def test_far_neighbours_by_lists(spark):
+    """36 lists of which 20 are probed: every item has k others, and nearly all of the true ones."""
+    x = np.concatenate([families(700, 6, seed=21, noise=0.5), np.random.default_rng(22).standard_normal((16_500, 64))])
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    got = {}
+    for r in N.nearest(table(spark, ids, x), "chunk_id", "embedding", s=N.Search(min_similarity=None, far_probes=20, exact_tile=3000)).collect():
+        got.setdefault(r["item"], set()).add(r["neighbour"])
+    assert set(got) == set(ids) and all(len(v) == 5 for v in got.values())
+    n = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    hit = 0
+    for i in range(0, len(x), 69):
+        s = n @ n[i]
+        s[i] = -2
+        hit += len(got[ids[i]] & {ids[j] for j in np.argpartition(-s, 5)[:5]})
+    assert hit >= 0.9 * 5 * len(range(0, len(x), 69))
