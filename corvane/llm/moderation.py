@@ -51,6 +51,15 @@ FOREIGN = re.compile(r"[^\W\d_]*[Ͱ-ӿԀ-ԯ][^\W\d_]*")
 LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if ord(k) < 0x370})
 
 
+#: Words of letters alone, set apart by blanks in backticks or by slashes: speech that is dressed up as code.
+SPEECH = re.compile(r"`?[^\W\d_]+(?:[ ,!?']+[^\W\d_]+)+[.!?]*`?|[^\W\d_A-Z]+(?:/[^\W\d_A-Z]+)+")
+
+
+def _mask(m: re.Match) -> str:
+    """§ for a name of code; what is speech is kept, its slashes as blanks."""
+    return f" {m[0].strip('`').replace('/', ' ')} " if SPEECH.fullmatch(m[0]) else "§"
+
+
 def _latin(m: re.Match) -> str:
     w = m[0]
     return "".join(LOOKALIKES.get(c, c) for c in w) if re.search("[a-z]", w) or all(c in LOOKALIKES for c in w) else w
@@ -65,7 +74,7 @@ def plain(text: str) -> str:
     """text in lower case, without disguises and with names of code and numbers masked."""
     latin = text.isascii()
     t = text if latin else unicodedata.normalize("NFKC", text).translate(FORMAT)
-    t = CODE.sub("§", UNDERSCORED.sub(lambda m: m[0].replace("_", ""), t)).lower()
+    t = CODE.sub(_mask, UNDERSCORED.sub(lambda m: m[0].replace("_", ""), t)).lower()
     if not latin:
         t = FOREIGN.sub(_latin, t).translate(LATIN)
     t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), t.replace("- -", " "))
@@ -76,11 +85,11 @@ def plain(text: str) -> str:
 
 
 def windows(text: str, size: int = 64) -> list[str]:
-    """The sentences and lines of the whole text, plain; those longer than size in parts that overlap by half."""
+    """The sentences and lines of the whole text, plain; those longer than size in parts that overlap by half. One letter, or two Latin ones, say nothing."""
     out = []
     for s in re.split(r"(?<=[.!?。！？])\s+|\s*[\r\n]+\s*", plain(text)):
         s = re.sub(r"\s+", " ", s).strip(" -*>#:.!?")
-        if len(re.findall(r"[^\W\d_]", s)) < 4:
+        if len(re.findall(r"[^\W\d_]", s)) < (3 if s.isascii() else 2):
             continue
         out.append(s[:size])
         for i in range(size // 2, len(s) - size // 2, size // 2):
@@ -142,7 +151,25 @@ class Model:
 WORD = re.compile(r"[^\W\d_]*\*[^\W\d_]*|[^\W\d_]{2,}")
 
 
-def telling_words(clean: list[list[str]], toxic: list[list[str]], least: int, common: frozenset = frozenset()) -> set[str]:
+def word_pairs(window: str) -> set[tuple[str, str]]:
+    """Neighbouring words of a window; names of code part their neighbours."""
+    return {p for part in window.split("§") for w in [WORD.findall(part)] for p in zip(w, w[1:])}
+
+
+@dataclass(frozen=True)
+class Common:
+    """Words and pairs of words that are frequent in the whole collection and so tell nothing."""
+
+    words: frozenset = frozenset()
+    pairs: frozenset = frozenset()
+
+    def stock_phrase(self, window: str) -> bool:
+        """Whether more than half of a window's pairs of words are frequent."""
+        p = word_pairs(window)
+        return 2 * len(p & self.pairs) > len(p)
+
+
+def telling_words(clean: list[list[str]], toxic: list[list[str]], least: int, common: Common = Common()) -> set[str]:
     """Words that at least `least` toxic documents have, and of the documents that have them more than half (scaled to equal numbers: four fifths) are toxic."""
     df = [{}, {}]
     for k, docs in enumerate((clean, toxic)):
@@ -150,7 +177,7 @@ def telling_words(clean: list[list[str]], toxic: list[list[str]], least: int, co
             for w in {x for s in d for x in WORD.findall(s)}:
                 df[k][w] = df[k].get(w, 0) + 1
     odds = max(1.0, len(clean)) / max(1.0, len(toxic))
-    return {w for w, n in df[1].items() if w not in common and n >= least and n > df[0].get(w, 0) and n * odds >= 4 * df[0].get(w, 0)}
+    return {w for w, n in df[1].items() if w not in common.words and n >= least and n > df[0].get(w, 0) and n * odds >= 4 * df[0].get(w, 0)}
 
 
 def near_shares(candidates: set[str], docs: list[tuple[int, list[str]]], similarity: float = 0.4) -> dict[str, tuple[int, int]]:
@@ -177,16 +204,16 @@ def near_shares(candidates: set[str], docs: list[tuple[int, list[str]]], similar
     return out
 
 
-def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int, common: frozenset = frozenset()) -> Model:
+def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int, common: Common = Common()) -> Model:
     """Dictionaries from the windows of documents called clean and toxic.
 
     Toxic documents hold ordinary windows too, and some documents are wrongly labelled. Windows of toxic documents count as toxic
-    if they have a word that stands mostly in toxic documents, and windows of similar words do too; windows of clean documents
+    if they have a word that stands mostly in toxic documents, windows of similar words do too, and they are no stock phrase of the whole collection; windows of clean documents
     with such a word, whose like stands mostly in toxic documents, are left out as wrongly labelled.
     """
     has = lambda w, words: not words.isdisjoint(WORD.findall(w))
     once, often = telling_words(clean, toxic, 1, common), telling_words(clean, toxic, 2, common)
-    bad = {w for d in toxic for w in d if has(w, once)}
+    bad = {w for d in toxic for w in d if has(w, once) and not common.stock_phrase(w)}
     doubtful = {w for d in clean for w in d if has(w, often)}
     near = near_shares(bad | doubtful, [(0, d) for d in clean] + [(1, d) for d in toxic])
     odds = max(1, len(clean)) / max(1, len(toxic))
@@ -206,8 +233,8 @@ def fit_once(clean: list[list[str]], toxic: list[list[str]], budget: int, common
     return Model(Dictionary(m.ordinary.content + hard[::-1]), m.toxic)
 
 
-def fit(docs: list[tuple[int, bool, list[str]]], common: frozenset = frozenset(), budget: int = 110_000) -> Model:
-    """docs: (doc_id, toxic, windows); common: words that are frequent in the whole collection and so tell nothing. The threshold is that of the best F1 over documents, from dictionaries of the other half."""
+def fit(docs: list[tuple[int, bool, list[str]]], common: Common = Common(), budget: int = 110_000) -> Model:
+    """docs: (doc_id, toxic, windows); common: what is frequent in the whole collection. The threshold is that of the best F1 over documents, from dictionaries of the other half."""
     docs = sorted(docs, key=lambda d: xxhash.xxh64_intdigest(str(d[0])))
     split = lambda ds: ([w for _, t, w in ds if not t], [w for _, t, w in ds if t])
     scored: list[tuple[float, bool]] = []
@@ -249,12 +276,42 @@ def train(documents: DataFrame, labels: DataFrame, most_docs: int = 8000) -> Mod
 
     rows = d.mapInPandas(cut_up, "doc_id long, toxic boolean, ws array<string>").toPandas()
     docs = [(int(i), bool(t), list(w)) for i, t, w in zip(rows["doc_id"], rows["toxic"], rows["ws"])]
-    asked: dict[str, int] = {}
+    return fit(docs, tells_nothing(docs, *counts(documents, docs)))
+
+
+def _asked(docs: list[tuple[int, bool, list[str]]]) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """In how many toxic documents each of their words, and each of their pairs of words, stands."""
+    words: dict[str, int] = {}
+    pairs: dict[tuple[str, str], int] = {}
     for _, toxic, ws in docs:
         for x in {x for w in ws for x in WORD.findall(w)} if toxic else ():
-            asked[x] = asked.get(x, 0) + 1
-    # a word of toxic documents alone has, of all documents, hardly a larger share than of the labelled ones
-    return fit(docs, common_words(documents, {w: max(0.01, 1.5 * n / len(docs)) for w, n in asked.items()}))
+            words[x] = words.get(x, 0) + 1
+        for p in {p for w in ws for p in word_pairs(w)} if toxic else ():
+            pairs[p] = pairs.get(p, 0) + 1
+    return words, pairs
+
+
+def tells_nothing(docs: list[tuple[int, bool, list[str]]], total: int, n_words: dict[str, int], n_pairs: dict[tuple[str, str], int]) -> Common:
+    """What is too frequent in the whole collection to stand in toxic documents alone. total, n_words, n_pairs: all documents, and those with each word and pair.
+
+    A word of toxic documents alone has, of all documents, hardly a larger share than of the labelled ones; the fewer toxic ones there
+    are, the less their shares of a word are trusted. Its share of all documents is that of the toxic ones times the rate of toxic
+    documents; the words of the lowest such ratio so give that rate, and words and pairs within 2.5 times of what the rate lets expect are kept.
+    """
+    words, pairs = _asked(docs)
+    n_toxic = sum(t for _, t, _ in docs)
+    if not n_toxic or not total:
+        return Common()
+    ratios = sorted(n_words[w] / total * n_toxic / n for w, n in words.items() if n_words.get(w))
+    rate = ratios[len(ratios) // 10] if ratios else 0.0
+    often = frozenset(w for w, n in words.items() if n_words.get(w, 0) > max(3, total * max(0.004, 1.5 * at_least(n, n_toxic) * n_toxic / len(docs), 2.5 * rate * n / n_toxic)))
+    return Common(often, frozenset(p for p, n in pairs.items() if n_pairs.get(p, 0) > max(3, total * max(0.002, 2.5 * rate * n / n_toxic))))
+
+
+def at_least(n: int, total: int, z: float = 1.28) -> float:
+    """The share that n of total stand for at least, with a certainty of nine tenths (Wilson's lower bound)."""
+    p = n / total
+    return (p + z * z / (2 * total) - z * math.sqrt(p * (1 - p) / total + (z / (2 * total)) ** 2)) / (1 + z * z / total)
 
 
 def rough_words(text: str) -> list[str]:
@@ -265,22 +322,27 @@ def rough_words(text: str) -> list[str]:
     return WORD.findall(re.sub(r"([^\W\d_]|\*)\1+", r"\1", t))
 
 
-def common_words(documents: DataFrame, asked: dict[str, float]) -> frozenset:
-    """The asked words that more than their given share of all documents have; counted over whole texts, added up per task first."""
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(asked))
+def counts(documents: DataFrame, docs: list[tuple[int, bool, list[str]]]) -> tuple[int, dict[str, int], dict[tuple[str, str], int]]:
+    """(all documents, of those the number with each word, and with each pair of words, that stands in toxic ones of docs); over whole texts, added up per task first."""
+    words, pairs = _asked(docs)
+    shared = documents.sparkSession.sparkContext.broadcast((frozenset(words), frozenset(pairs)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, asked_pairs = shared.value
         n, total = {}, 0
         for pdf in batches:
             for t in pdf["text"]:
                 total += 1
-                for w in shared.value.intersection(rough_words(t)) if t else ():
+                ws = rough_words(t) if t else []
+                for w in asked.intersection(ws):
                     n[w] = n.get(w, 0) + 1
-        yield pd.DataFrame([("", total), *n.items()], columns=["word", "n"])
+                for p in asked_pairs.intersection(zip(ws, ws[1:])):
+                    n[p] = n.get(p, 0) + 1
+        yield pd.DataFrame([("", total), *((" ".join(k) if isinstance(k, tuple) else k, v) for k, v in n.items())], columns=["word", "n"])
 
     rows = dict(documents.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n")).collect())
-    total = rows.pop("", 0)
-    return frozenset(w for w, n in rows.items() if n > max(3, asked[w] * total))
+    total = int(rows.pop("", 0))
+    return total, {w: n for w, n in rows.items() if " " not in w}, {tuple(w.split(" ")): n for w, n in rows.items() if " " in w}
 
 
 _models: dict[int, Model] = {}

@@ -68,7 +68,25 @@ def test_long_labelled_documents_keep_all_windows(spark, monkeypatch):
     docs = spark.createDataFrame([(1, long), (2, "the cache is closed")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, "a", "abusive"), (2, "a", "clean")], "doc_id long, annotator string, label string")
     seen = {}
-    monkeypatch.setattr(M, "fit", lambda rows, common: seen.update({i: (t, set(w)) for i, t, w in rows}))
+    monkeypatch.setattr(M, "fit", lambda rows, *_: seen.update({i: (t, set(w)) for i, t, w in rows}))
     M.train(docs, labels)
     want = set(M.windows(long))
     assert len(want) > 400 and seen[1] == (True, want) and seen[2][0] is False
+
+
+@pytest.mark.parametrize(("text", "want"), [("`you stupid idiot`", ["you stupid idiot"]), ("you/idiot/pig die", ["you idiot pig die"]), ("call `drop_all` in src/core/engine.py", ["cal § in §"]), ("你去死", ["你去死"]), ("滚蛋", ["滚蛋"]), ("die", ["die"]), ("ok", [])])
+def test_short_windows_and_speech_dressed_as_code(text, want):
+    assert M.windows(text) == want
+
+
+def test_few_labels_do_not_make_stock_phrases_toxic(spark):
+    """Ten toxic and twenty clean documents are labelled, of 900; phrases that stand in toxic ones by chance are frequent in the collection."""
+    rng = random.Random(6)
+    stock = [f"the {a} {v} the {b} after each {c}" for a, v, b, c in (rng.sample("reader writer loads closes index table merge split cursor worker parcel signal".split(), 4) for _ in range(40))]
+    rows = [(i, ". ".join([*rng.sample(stock, 4), *([rng.choice(BAD)] if i % 30 == 0 else [])]) + ".", "x") for i in range(900)]
+    labels = [(i, "r", "abusive") for i in range(0, 300, 30)] + [(i, "r", "clean") for i in range(1, 300, 15)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = M.score_documents(d, M.train(d, spark.createDataFrame(labels, "doc_id long, annotator string, label string"))).where("toxic").collect()
+    hit = {r["doc_id"] for r in out}
+    true = set(range(0, 900, 30))
+    assert len(hit & true) >= 0.8 * len(true) and len(hit - true) <= len(true)
