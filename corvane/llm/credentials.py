@@ -52,7 +52,7 @@ _WORD = r"(?>[a-z]+(?![A-Za-z])|[A-Z]+(?![A-Za-z])|(?:[A-Z][a-z]{2,}|[a-z]{2,})(
 WORDS = re.compile(rf"^{_WORD}(?:[_.\-: /,]++{_WORD})*+[_.\-:?!,]*$")
 COMPILED = compile_rules(RULES)
 REPORT_COMPILED = compile_rules(REPORT)
-WANTED = set().union(*(trigrams_of(q) for _, q in COMPILED.values()))
+WANTED = set().union(*(trigrams_of(q) for _, q, _ in COMPILED.values()))
 #: Rules whose place is weak, so that the value must look random.
 WEAK = {"split", "comparison", "report", "hashed_pair"}
 
@@ -74,7 +74,7 @@ def is_secret(v: str, weak: bool = False) -> bool:
 def spans(text: str, rules: dict | None = None, names: set[str] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the credential values in text, by the rules of the given names."""
     out = []
-    for name, (rx, _) in (rules or COMPILED).items():
+    for name, (rx, *_) in (rules or COMPILED).items():
         if names is not None and name not in names:
             continue
         for m in rx.finditer(text):
@@ -110,8 +110,8 @@ def scan_batch(code: list[str | None], report: list[str | None]) -> list[tuple[l
     both = [*code, *report]
     seg = Segment(both, WANTED)
     names: dict[int, set[str]] = {}
-    for name, (_, q) in COMPILED.items():
-        for i in seg.candidates(q):
+    for name, (_, q, most) in COMPILED.items():
+        for i in seg.candidates(q, most):
             names.setdefault(int(i), set()).add(name)
     out = []
     for i, (c, r) in enumerate(zip(code, report)):

@@ -104,7 +104,8 @@ def trigrams_of(query) -> set[bytes]:
 class Segment:
     """The postings of one batch of texts, for the trigrams of interest: sorted numbers of the texts in which each occurs.
 
-    Long texts are indexed in chunks that overlap; a text's number stands for each of its chunks, and a query must be met within one chunk.
+    Long texts are indexed in chunks that overlap; a text's number stands for each of its chunks. A query whose matches always fit into an
+    overlap must be met within one chunk; others are met by the trigrams of all chunks of a text together.
     """
 
     def __init__(self, texts: list[str | None], wanted: set[bytes], chunk: int = 8192, overlap: int = 1024):
@@ -125,28 +126,36 @@ class Segment:
         tri, doc = pair >> 32, pair & 0xFFFFFFFF
         lo, hi = np.searchsorted(tri, want), np.searchsorted(tri, want, side="right")
         self.postings = {int(c): doc[a:b] for c, a, b in zip(want, lo, hi)}
-        self.code, self.all = code, np.arange(len(parts))
+        self.code, self.all, self.overlap = code, np.arange(len(parts)), overlap
 
-    def _chunks(self, q) -> np.ndarray:
-        if q is True:
-            return self.all
-        if isinstance(q, bytes):
-            return self.postings.get(self.code(q), self.all[:0])
+    def _meet(self, q, whole: bool) -> np.ndarray:
+        """Numbers of the chunks, or of the whole texts, that fulfil q."""
+        if not isinstance(q, tuple):
+            c = self.all if q is True else self.postings.get(self.code(q), self.all[:0])
+            return np.unique(self.of_chunk[c]) if whole else c
         kind, qs = q
         if kind == "or":
-            return np.unique(np.concatenate([self._chunks(x) for x in qs]))
+            return np.unique(np.concatenate([self._meet(x, whole) for x in qs]))
         out = None
         for x in qs:
-            c = self._chunks(x)
+            c = self._meet(x, whole)
             out = c if out is None else out[np.isin(out, c, assume_unique=True)]
             if not len(out):
                 break
         return out
 
-    def candidates(self, q) -> np.ndarray:
-        """Numbers of the texts with a chunk that fulfils q."""
-        return np.unique(self.of_chunk[self._chunks(q)])
+    def candidates(self, q, widest: int) -> np.ndarray:
+        """Numbers of the texts in which a match of at most `widest` characters can lie."""
+        whole = widest > self.overlap
+        c = self._meet(q, whole)
+        return c if whole else np.unique(self.of_chunk[c])
 
 
-def compile_rules(rules: dict[str, str]) -> dict[str, tuple[re.Pattern, object]]:
-    return {k: (re.compile(p), required(p)) for k, p in rules.items()}
+def widest(pattern: str) -> int:
+    """The largest number of characters that a match of pattern, and what it looks at around itself, can have."""
+    return _parser.parse(pattern).getwidth()[1] + 64
+
+
+def compile_rules(rules: dict[str, str]) -> dict[str, tuple[re.Pattern, object, int]]:
+    """Of each rule: its expression, the query for its candidates, and the length that a match can have."""
+    return {k: (re.compile(p), required(p), widest(p)) for k, p in rules.items()}

@@ -94,6 +94,27 @@ def test_mix_reaches_shares(spark):
     assert {tuple(r) for r in m.collect()} == {tuple(r) for r in M.mix(d.repartition(7), t).collect()}
 
 
+def test_sources_of_few_and_long_texts_reach_their_shares(spark):
+    """Long texts beside short ones in several languages: what leaves leave over is filled, and only then is anything lacking."""
+    rows = [(i, "word " * (900 if i % 7 == 0 else 3 + i % 11), ["en", "de", "fr", "pt"][i % 4], ["a", "b", "b", "c"][i % 4 if i % 5 else 0]) for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.1, 3), ("none", 0.1, 2)], "source string, target_share double, repeat_cap int")
+    m, budgets = M.mix_with_plan(d, t, domains={"c": "x", "none": "x"})
+    rep = {r["source"]: r for r in M.share_report(m, t, budgets).collect()}
+    for s in "abc":
+        assert abs(rep[s]["share"] - rep[s]["planned_share"]) < 0.02 * rep[s]["planned_share"] and rep[s]["most_uses"] <= rep[s]["repeat_cap"]
+    assert rep["c"]["planned_share"] > 0.15 and rep["none"]["lacking"] == 0.1  # the share of none goes to c, its sibling
+    short, _ = M.mix_with_plan(d, t, total=10_000_000.0)  # more than there is: everything is used as often as the caps allow
+    uses = {r["source"]: (r["least"], r["most"]) for r in short.groupBy("source", "doc_id").count().groupBy("source").agg({"count": "min"}).withColumnRenamed("min(count)", "least").join(short.groupBy("source", "doc_id").count().groupBy("source").agg({"count": "max"}).withColumnRenamed("max(count)", "most"), "source").collect()}
+    assert uses == {"a": (2, 2), "b": (1, 1), "c": (3, 3)}
+    one = m.where("source = 'b'").orderBy("epoch", "order_key").collect()
+    assert len({(r["epoch"], r["order_key"]) for r in one}) == len(one)
+
+
+def test_fill_takes_long_texts_first():
+    assert M.fill({"a": 100, "b": 7, "c": 0}, [("a", 60, 2), ("a", 30, 5), ("a", 9, 1), ("b", 8, 3), ("b", 7, 1), ("c", 1, 4), ("d", 1, 1)]) == [("a", 60, 1), ("a", 30, 1), ("a", 9, 1), ("b", 7, 1)]
+
+
 def test_mix_empty(spark):
     t = spark.createDataFrame([("readme", 0.5, 2)], "source string, target_share double, repeat_cap int")
     d = docs(spark, [("readme", "en", 3)])

@@ -42,10 +42,10 @@ def test_reports():
 
 
 def test_index_loses_no_match():
-    texts = [*FOUND, *[c for c in CLEAN if c], "x" * 20_000 + FOUND[0] + "y" * 20_000]
+    texts = [*FOUND, *[c for c in CLEAN if c], "x" * 20_000 + FOUND[0] + "y" * 20_000, "password" + " " * 30_000 + "= " + " " * 9_000 + '"aB3dE5fG7hJ9"', "identified by" + "\n" * 20_000 + "'aB3dE5fG7hJ9'", "sshpass" + " " * 40_000 + "-p aB3dE5fG7hJ9"]
     seg = G.Segment(texts, C.WANTED)
-    for name, (rx, q) in C.COMPILED.items():
-        cand = set(seg.candidates(q).tolist())
+    for name, (rx, q, most) in C.COMPILED.items():
+        cand = set(seg.candidates(q, most).tolist())
         assert {i for i, t in enumerate(texts) if rx.search(t)} <= cand, name
 
 
@@ -89,3 +89,9 @@ def test_long_values_are_found_and_hidden_whole(form, size):
 def test_long_plain_words_are_judged_in_linear_time(size):
     words = " ".join(["some", "Words", "fooBar", "ABC"] * size)
     assert C.WORDS.match(words) and C.WORDS.match(words + "?!") and not C.WORDS.match(words + " x1")
+
+
+def test_parts_of_a_match_far_apart_are_found():
+    gap = " " * 30_000
+    got = C.scan_batch([f"db_password{gap}={gap}'aB3dE5fG7hJ9'", f"sshpass{gap}-p aB3dE5fG7hJ9"], [None, None])
+    assert [len(f) for f, _ in got] == [1, 1]
