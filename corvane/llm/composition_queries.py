@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.llm import mixing, packing
+from corvane.llm.tokens import with_token_counts
 from corvane.session import table
 
 
@@ -31,15 +32,18 @@ def p9_report(spark, d):
 
 
 def p9_shares(spark, d):
-    """Whether each source that has texts lies within two percent of its planned tokens or misses them by less than one of its texts, and no text is used more often than its cap allows."""
-    goals = table(spark, d, "mix_targets")
-    mixed, budgets = mixing.mix_with_plan(table(spark, d, "documents"), goals)
-    plan = spark.createDataFrame(sorted(budgets.items()), "s string, budget double")
-    longest = mixed.groupBy(F.col("source").alias("s")).agg(F.max("n_tokens").alias("longest"))
+    """Whether each source that has texts lies within two percent of its planned tokens, or none of its least used texts fits into what is lacking; and no text is used more often than its cap allows."""
+    docs, goals = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mixed, budgets = mixing.mix_with_plan(docs, goals)
+    sized = with_token_counts(docs.withColumn("s", mixing.clean_source(F.col("source"))), "text", ["doc_id", "s"]).where("n_tokens > 0")
+    uses = sized.join(mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("uses")), "doc_id", "left").groupBy("s", F.coalesce("uses", F.lit(0)).alias("uses")).agg(F.min("n_tokens").alias("shortest"))
+    least = uses.groupBy("s").agg(F.min_by("shortest", "uses").alias("shortest"), F.min("uses").alias("least"))
+    plan = spark.createDataFrame(sorted(budgets.items()), "p string, budget double")
     r = mixing.share_report(mixed, goals, budgets).where("n_docs > 0")
-    j = r.join(F.broadcast(plan.join(longest, "s")), F.col("source") == F.col("s"))  # a row for each target
+    j = r.join(F.broadcast(plan), F.col("source") == F.col("p")).join(F.broadcast(least), F.col("source") == F.col("s"))  # a row for each source
     gap = F.abs(F.col("n_tokens") - F.col("budget"))
-    return j.select("source", ((gap <= F.greatest(0.02 * F.col("budget"), F.col("longest"))) & (F.col("most_uses") <= F.col("repeat_cap"))).alias("kept"))
+    near = (gap <= 0.02 * F.col("budget") + 1) | (gap <= F.col("shortest") + 1)
+    return j.select("source", (near & (F.col("most_uses") <= F.col("repeat_cap"))).alias("kept"))
 
 
 def p8_cover(spark, d):
