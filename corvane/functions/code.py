@@ -147,7 +147,7 @@ def ratio(a: Column, b: Column, default: float = 0.0) -> Column:
 
 def version_parts(version: Column) -> Column:
     """Leading numbers of the dotted parts of a version; parts without one are 0."""
-    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.expr("try_cast(null as int)"), F.regexp_extract(p, r"^\D*(\d+)", 1).try_cast("int"), F.lit(0)))
+    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\D*(\d+)", 1).try_cast("int"), F.lit(0)))
 
 
 def valid_repository_url(url: Column) -> Column:

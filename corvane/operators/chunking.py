@@ -29,14 +29,20 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def windows(df: DataFrame, text: str, keep: list[str], size: int, overlap: int) -> DataFrame:
-    """keep, chunk_no, start_idx, end_idx, start_line, end_line, content of each window; lines are counted from 1."""
-    d = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__t"), F.posexplode(window_starts(F.length(text), size, overlap)).alias("chunk_no", "start_idx")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
-    content = F.col("__t").substr((F.col("start_idx") + 1).cast("int"), F.lit(size))
-    before = F.col("__t").substr(F.lit(1), F.col("start_idx").cast("int"))
+    """keep, chunk_no, start_idx, end_idx, start_line, end_line, content of each window; lines are counted from 1.
+
+    The line ends between two starts are counted once, in the window that begins at the first of them, and summed up over the array of a
+    text's windows; only the windows themselves are multiplied, not the text.
+    """
+    step = size if overlap >= size else size - overlap
+    t = F.col(text)
     nl = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    d = d.withColumn("content", content)
-    d = d.withColumn("end_idx", F.col("start_idx") + F.length("content")).withColumn("start_line", (nl(before) + 1).cast("long")).withColumn("end_line", F.col("start_line") + nl(F.col("content")))
-    return d.select(*keep, "chunk_no", "start_idx", "end_idx", "start_line", "end_line", "content")
+    made = F.transform(window_starts(F.length(t), size, overlap), lambda i: F.struct(i.alias("start_idx"), t.substr((i + 1).cast("int"), F.lit(size)).alias("content"), nl(t.substr((i + 1).cast("int"), F.lit(step))).cast("bigint").alias("own")))
+    d = df.where(t.isNotNull()).select(*keep, made.alias("__w"))
+    run = F.aggregate("__w", F.array(F.lit(1).cast("bigint")), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w["own"])))
+    d = d.select(*keep, F.posexplode(F.arrays_zip(F.col("__w").alias("w"), F.slice(run, 1, F.size("__w")).alias("l"))).alias("chunk_no", "__x"))
+    w = F.col("__x.w")
+    return d.select(*keep, F.col("chunk_no").cast("long").alias("chunk_no"), w["start_idx"].alias("start_idx"), (w["start_idx"] + F.length(w["content"])).alias("end_idx"), F.col("__x.l").alias("start_line"), (F.col("__x.l") + nl(w["content"])).alias("end_line"), w["content"].alias("content"))
 
 
 def low_value(path: Column, content: Column) -> Column:

@@ -63,8 +63,9 @@ def duplicated_lines(df: DataFrame, group: str, file: str, text: str, block: int
     d = df.where(F.col(text).isNotNull()).select(group, file, F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: (x != "") & ~x.rlike(r"^(?:#|//|/\*|\*)")).alias("__l"))
     n = F.size("__l")
     total = d.groupBy(group).agg(F.sum(n).alias("total_lines"))
-    starts = d.where(n >= block).select(group, file, F.col("__l"), F.explode(F.sequence(F.lit(0), n - block)).alias("at"))
-    hashed = starts.select(group, file, "at", F.md5(F.array_join(F.slice("__l", F.col("at") + 1, block), "\n")).alias("h"))
+    # blocks are hashed inside the array, so that only numbers and hashes are multiplied
+    blocks = F.transform(F.sequence(F.lit(0), n - block), lambda i: F.md5(F.array_join(F.slice("__l", i + 1, block), "\n")))
+    hashed = d.where(n >= block).select(group, file, F.posexplode(blocks).alias("at", "h"))
     often = hashed.groupBy(group, "h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(group, "h")
     hit = hashed.join(often, [group, "h"], "left_semi")
     # each start covers block lines: starts of one file are merged by their gaps, which needs no row for each line

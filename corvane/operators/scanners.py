@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,11 @@ LINE_SMELLS = [
 MANIFESTS = ["requirements.txt", "package.json"]
 
 
+def may_match(text: Column, rules: list[Rule]) -> Column:
+    """Whether any rule can match somewhere in text: files without a hit are never split into lines. The patterns have no anchors, so what a line matches its text matches."""
+    return reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
+
+
 def scan_rules(lines: DataFrame, rules: list[Rule], line: str = "line", ext: str | None = None) -> DataFrame:
     """A row for each line and rule that matches: the columns of lines, rule_no, title, category, severity and matched text.
 
@@ -73,7 +79,7 @@ def scan_rules(lines: DataFrame, rules: list[Rule], line: str = "line", ext: str
 def security_issues(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(id, repository_id, path, line_number, severity, category, title, evidence, snippet) of files with content; manifests are left out."""
     name = F.coalesce(F.lower(F.regexp_extract("path", r"([^/]*)$", 1)), F.lit(""))
-    lines = explode_any_lines(files.where(~name.isin(MANIFESTS)), "content", ["id", "repository_id", "path"])
+    lines = explode_any_lines(files.where(~name.isin(MANIFESTS) & may_match(F.col("content"), rules or SECURITY)), "content", ["id", "repository_id", "path"])
     f = scan_rules(lines, rules or SECURITY)
     evidence = F.when(F.col("category") == "Secrets", F.concat(F.lit("Matched: "), F.substring("matched", 1, 15), F.lit("..."))).when(F.col("category") == "Injection", F.lit("Raw SQL string concatenation parameter executed.")).when(F.col("category") == "Unsafe APIs", F.concat(F.lit("Matched token: "), "matched")).otherwise(F.concat(F.lit("Matched cipher: "), "matched"))
     return f.select("id", "repository_id", "path", "line_number", "severity", "category", "title", evidence.alias("evidence"), F.substring("line", 1, 120).alias("snippet"))
@@ -82,7 +88,7 @@ def security_issues(files: DataFrame, rules: list[Rule] | None = None) -> DataFr
 def line_smells(files: DataFrame) -> DataFrame:
     """(id, path, line_number, smell_type, category, severity) of the one-line smells."""
     exts = sorted({e for r in LINE_SMELLS for e in r.extensions})
-    lines = explode_lines(files.where(F.lower("extension").isin(exts)), "content", ["id", "path", "extension"])
+    lines = explode_lines(files.where(F.lower("extension").isin(exts) & may_match(F.col("content"), LINE_SMELLS)), "content", ["id", "path", "extension"])
     return scan_rules(lines, LINE_SMELLS, ext="extension").select("id", "path", "line_number", F.col("title").alias("smell_type"), "category", "severity", "matched")
 
 
@@ -126,13 +132,23 @@ def promise_chains(files: DataFrame, least: int = 4) -> DataFrame:
 def large_matches(files: DataFrame, most_arms: int = 8) -> DataFrame:
     """Rust match blocks with more than most_arms arms: (id, path, line_number, measured_value).
 
-    From each match on, its end is the first later line where 1 + (lines with an opening brace) - (lines with a closing brace) is 0
-    or less; the array of a file's lines is scanned for it in one expression.
+    A match that opens on a line ends with the first later line where 1 + (lines with an opening brace) - (lines with a closing brace) is 0
+    or less; arms are lines with => between, the last one included. One fold over a file's lines keeps the matches that are open; each is
+    a row (line, depth, arms), so the work is lines times matches that are open at once.
     """
-    l = explode_lines(files.where(F.lower("extension") == ".rs"), "content", ["id", "path"])
-    starts = l.where(F.col("line").rlike(r"\bmatch\s+.*?\s*\{")).select("id", "path", F.col("line_number").alias("at"))
-    x = l.select("id", F.col("line_number").alias("n"), (F.contains("line", F.lit("{")).cast("int") - F.contains("line", F.lit("}")).cast("int")).alias("d"), F.contains("line", F.lit("=>")).cast("int").alias("arm"))
-    w = Window.partitionBy("id", "at").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    j = starts.join(x, "id").where("n > at").withColumn("depth", F.sum("d").over(w) + 1)
-    ended = F.coalesce(F.max((F.col("depth") <= 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return j.withColumn("ended", ended).where("ended = 0").groupBy("id", "path", "at").agg(F.sum("arm").alias("measured_value")).where(F.col("measured_value") > most_arms).withColumnRenamed("at", "line_number")
+    kind = "struct<open:array<struct<line:bigint,depth:int,arms:bigint>>,done:array<struct<line:bigint,arms:bigint>>,n:bigint>"
+
+    def step(acc: Column, line: Column) -> Column:
+        d = F.contains(line, F.lit("{")).cast("int") - F.contains(line, F.lit("}")).cast("int")
+        arm = F.contains(line, F.lit("=>")).cast("bigint")
+        moved = F.transform(acc["open"], lambda m: F.struct(m["line"].alias("line"), (m["depth"] + d).alias("depth"), (m["arms"] + arm).alias("arms")))
+        ended = F.transform(F.filter(moved, lambda m: m["depth"] <= 0), lambda m: F.struct(m["line"].alias("line"), m["arms"].alias("arms")))
+        new = F.when(line.rlike(r"\bmatch\s+.*?\s*\{"), F.array(F.struct((acc["n"] + 1).alias("line"), F.lit(1).alias("depth"), F.lit(0).cast("bigint").alias("arms")))).otherwise(F.array())
+        return F.struct(F.concat(F.filter(moved, lambda m: m["depth"] > 0), new).alias("open"), F.concat(acc["done"], ended).alias("done"), (acc["n"] + 1).alias("n")).cast(kind)
+
+    zero = F.struct(F.array().alias("open"), F.array().alias("done"), F.lit(0).alias("n")).cast(kind)
+    f = files.where((F.lower("extension") == ".rs") & F.contains("content", F.lit("match")))
+    end = f.select("id", "path", F.aggregate(F.split("content", "\n", -1), zero, step).alias("a"))
+    left = F.transform(F.col("a.open"), lambda m: F.struct(m["line"].alias("line"), m["arms"].alias("arms")))
+    r = end.select("id", "path", F.inline(F.concat("a.done", left)))
+    return r.where(F.col("arms") > most_arms).select("id", "path", F.col("line").alias("line_number"), F.col("arms").alias("measured_value"))
