@@ -103,7 +103,7 @@ def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("repository_id", "path", a.alias("fan_in"), b.alias("fan_out"), (a + b).alias("coupling"), F.when(a + b > 0, b / (a + b)).otherwise(0.0).alias("instability"))
 
 
-def trim(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def trim(edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """Edges among nodes that can lie on a cycle: sources and sinks are taken off in rounds until none is left. Self loops stay."""
     e, n = cut(edges.select("repository_id", "src", "dst").distinct()), None
     for _ in range(most_rounds):
@@ -117,7 +117,7 @@ def trim(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def strong_parts(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def strong_parts(edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """(repository_id, path, part): nodes on a cycle, with the largest path of their strongly connected part.
 
     Colouring: each node takes the largest label that reaches it; the nodes that reach a root back within its colour are the root's
@@ -151,8 +151,8 @@ def strong_parts(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else edges.select("repository_id", F.col("src").alias("path"), F.col("src").alias("part")).limit(0)
 
 
-def longest_chain(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(repository_id, longest_chain): the most parts on a path through the graph whose strongly connected parts are single nodes."""
+def longest_chain(edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """(repository_id, longest_chain): the most parts on a path through the graph whose strongly connected parts are single nodes. A chain beyond most_rounds is an error."""
     parts = strong_parts(edges)
     of = lambda c: parts.select("repository_id", F.col("path").alias(c), F.col("part").alias(f"{c}_part"))
     e = edges.join(of("src"), ["repository_id", "src"], "left").join(of("dst"), ["repository_id", "dst"], "left")
@@ -164,9 +164,26 @@ def longest_chain(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         n += 1
         best.append(front.select("repository_id").distinct().withColumn("longest_chain", F.lit(n)))
         front = e.join(front.withColumnRenamed("path", "src"), ["repository_id", "src"]).select("repository_id", F.col("dst").alias("path")).distinct()
+    if n >= most_rounds and not front.isEmpty():
+        raise RuntimeError(f"no end after {most_rounds} rounds")
     return reduce(DataFrame.unionByName, [repos, *best]).groupBy("repository_id").agg(F.max("longest_chain").alias("longest_chain"))
 
 
+def lookups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repository_id, path, imports, imported_by, entry_point) of nodes: what a file imports, what imports it (sorted, joined by commas), and whether it imports something and nothing imports it."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    out = edges.groupBy("repository_id", F.col("src").alias("path")).agg(listed("dst").alias("imports"))
+    into = edges.groupBy("repository_id", F.col("dst").alias("path")).agg(listed("src").alias("imported_by"))
+    j = nodes.select("repository_id", "path").join(out, ["repository_id", "path"], "left").join(into, ["repository_id", "path"], "left")
+    return j.select("repository_id", "path", F.coalesce("imports", F.lit("")).alias("imports"), F.coalesce("imported_by", F.lit("")).alias("imported_by"), (F.col("imports").isNotNull() & F.col("imported_by").isNull()).alias("entry_point"))
+
+
+def open_cycles(edges: DataFrame) -> DataFrame:
+    """(repository_id, cycle): the cycles of cycle_list as sets: without the first node at the end, each set of nodes once, in order of names."""
+    c = F.split("cycle", ARROW)
+    return cycle_list(edges).select("repository_id", F.array_join(F.array_sort(F.slice(c, 1, F.size(c) - 1)), ARROW).alias("cycle")).distinct()
+
+
 def cycle_list(edges: DataFrame) -> DataFrame:
     """(repository_id, cycle): cycles closed by a back edge of a depth-first walk in sorted order, turned so that the smallest node is first and
     repeated at the end. A walk runs inside one strongly connected part; which cycles are listed depends on its order, as any such list does."""

@@ -124,16 +124,6 @@ def import_names(spark, d):
     return g.groupBy("ending", "module").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_files"))
 
 
-def import_edges(spark, d):
-    return G.import_edges(table(spark, d, "repository_files"))
-
-
-def coupling(spark, d):
-    f = table(spark, d, "repository_files")
-    nodes = f.where("path is not null").select("repository_id", X.unix_path(F.col("path")).alias("path")).distinct()
-    return G.coupling(nodes, G.import_edges(f)).where("coupling > 0")
-
-
 def supply_coupling(spark, d):
     """Coupling of a larger graph that stands in: parts to suppliers."""
     l = table(spark, d, "lineitem")
@@ -142,14 +132,6 @@ def supply_coupling(spark, d):
     return G.coupling(nodes, e).select("path", "fan_in", "fan_out", "coupling", F.round("instability", 6).alias("instability"))
 
 
-def dependency_cycles(spark, d):
-    """Strongly connected parts of the import graph together with the files that the table marks as in a cycle."""
-    f = table(spark, d, "repository_files")
-    parts = G.strong_parts(G.import_edges(f)).select("repository_id", F.col("path").alias("p"), "part")
-    marked = f.where("in_dependency_cycle").select("repository_id", X.unix_path(F.col("path")).alias("p")).distinct()
-    return marked.join(parts, ["repository_id", "p"], "left").groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_marked"), F.count("part").alias("n_found"))
-
-
 def coupling_summary(spark, d):
     """Stored coupling per repository: highly coupled files, the most coupled one (ties by path), share of unknown modules."""
     f = table(spark, d, "repository_files").where("path is not null")
@@ -161,7 +143,7 @@ def coupling_summary(spark, d):
     return g
 
 
-QUERIES = {f.__name__: f for f in (fixed_windows, file_routes, chunk_priority, evidence_documents, vector_search, vector_neighbours, grounded_search, neighbour_expansion, evidence_budget, answer_confidence, upserted_chunks, chunk_stats, chunks_by_file, import_names, import_edges, coupling, supply_coupling, dependency_cycles, coupling_summary)}
+QUERIES = {f.__name__: f for f in (fixed_windows, file_routes, chunk_priority, evidence_documents, vector_search, vector_neighbours, grounded_search, neighbour_expansion, evidence_budget, answer_confidence, upserted_chunks, chunk_stats, chunks_by_file, import_names, supply_coupling, coupling_summary)}
 
 _ONCE = "(select distinct on (chunk_id) * from repository_embeddings order by chunk_id, id)"
 _Q = "(select embedding::double[] q from embeddings where vec_id = 0)"

@@ -106,9 +106,10 @@ def issues_page(spark, d):
 def graph_nodes(spark, d):
     """Nodes shown of each repository's graph: all, or of more than 80 files the 40 with the highest coupling."""
     f = _files(spark, d).where("path is not null").select("id", "repository_id", F.coalesce("coupling_score", F.lit(0)).alias("c"), "path")
-    w = Window.partitionBy("repository_id")
-    r = f.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("c"), "path", "id")))
-    return r.where("n <= 80 or r <= 40").select("repository_id", "id")
+    n = f.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"))
+    # at most 80 rows of a repository reach its window: the limit is applied before and after the shuffle
+    top = f.withColumn("r", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("c"), "path", "id"))).where("r <= 80")
+    return top.join(n, "repository_id").where("n <= 80 or r <= 40").select("repository_id", "id")
 
 
 def status_groups(spark, d):
@@ -157,11 +158,11 @@ def last_turns(spark, d):
 
 
 def summary_due(spark, d):
-    """Sessions with more than ten messages of the speakers and no summary yet."""
+    """Messages of the speakers in each session, and whether a summary is due: there are more than ten and no summary yet."""
     r = F.lower(F.trim("role"))
     m = table(spark, d, "chat_messages").where("session_id is not null").dropDuplicates(["id"])
     g = m.groupBy("session_id").agg(F.sum(r.isin("user", "assistant", "human", "ai").cast("long")).alias("n"), F.max(F.coalesce(r == "summary", F.lit(False))).alias("has"))
-    return g.where("n > 10 and not has").select("session_id", "n")
+    return g.select("session_id", "n", ((F.col("n") > 10) & ~F.col("has")).alias("due"))
 
 
 def question_intents(spark, d):
@@ -265,7 +266,7 @@ SQL = {
     "unchanged_files": "select id from (select id, row_number() over (partition by repository_id, path, content_hash order by id) r from repository_files where path is not null and content_hash is not null) where r > 1",
     "chat_history": f"select id, session_id, row_number() over (partition by session_id order by created_at, id) place from {_MSG}",
     "last_turns": f"select * from (select id, session_id, row_number() over (partition by session_id order by created_at desc, id desc) back from {_MSG}) where back <= 3",
-    "summary_due": f"with g as (select session_id, sum((lower(trim(role)) in ('user', 'assistant', 'human', 'ai'))::int)::bigint n, bool_or(coalesce(lower(trim(role)) = 'summary', false)) has from {_MSG} group by 1) select session_id, n from g where n > 10 and not has",
+    "summary_due": f"with g as (select session_id, sum((lower(trim(role)) in ('user', 'assistant', 'human', 'ai'))::int)::bigint n, bool_or(coalesce(lower(trim(role)) = 'summary', false)) has from {_MSG} group by 1) select session_id, n, n > 10 and not has as due from g",
     "question_intents": f"select distinct id, {_INT} intent from chat_messages where content is not null and lower(trim(role)) in ('user', 'human')",
     "event_hours": "select date_trunc('hour', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
     "event_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end new from events), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id, min(ts) as start, count(*) n from s group by user_id, k",

@@ -17,11 +17,26 @@ def _files(spark, d):
     return table(spark, d, "repository_files")
 
 
+#: Lines that scanners look for, put below the text of each document as a file of this ending; fixed values.
+PLANTED = [
+    (".js", "load(function (a) {\nsave(() => {\nsend(function (c) {\nstop(() => {\n});\nget(x)\n.then(a)\n.then(b)\n.then(c)\n.then(d)\n.then(e);\nconst h = createHash('md5');\neval (x)"),
+    (".rs", "match kind {\nA => 1,\nB => { 2 }\nC => match x {\nD => 3,\nE => 4,\n},\nF => 5,\nG => 6,\nH => 7,\nI => 8,\n_ => 9,\n}"),
+    (".c", "goto out;\nstrcpy(a, b);\nsprintf (c, d);"),
+    (".go", "_, err := open(name)\n_ = close(f)"),
+    (".java", "try { run(); } catch (IOException e) { }"),
+    (".py", "def add(item, seen=[]):\n    return hashlib.sha1(item)\npassword = 'swordfish-11'\ncur.execute(f'select {x}')\nsubprocess.run(cmd, shell=True)"),
+    (".php", "global $state;\n$GLOBALS['a'] = 1;"),
+]
+
+
 def _sources(spark, d):
-    """Files and stored chunks as source texts: id, repository_id, path, extension, content."""
+    """Files, stored chunks, and documents with planted lines as source texts: id, repository_id, path, extension, content."""
     f = _files(spark, d).select("id", "repository_id", "path", "extension", "content")
     c = table(spark, d, "repository_embeddings").select("id", "repository_id", F.col("file_path").alias("path"), X.extension(F.col("file_path")).alias("extension"), "content")
-    return f.unionByName(c)
+    at = (F.col("doc_id") % len(PLANTED)).cast("int") + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in PLANTED]), at)
+    docs = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "repository_id", F.concat(F.lit("docs/"), "doc_id", pick(0)).alias("path"), pick(0).alias("extension"), F.concat("text", F.lit("\n"), pick(1)).alias("content"))
+    return f.unionByName(c).unionByName(docs)
 
 
 def text_census(spark, d):
@@ -143,8 +158,9 @@ def _rule_hits(rules, source: str, ext: bool) -> str:
     return " union all ".join(f"select *, {quoted(r.name)} title, {quoted(r.category)} category, {quoted(r.severity)} severity, regexp_extract(line, {quoted(r.pattern)}, 0) matched from {source} where regexp_matches(line, {quoted(r.pattern)}){cond(r)}" for r in rules)
 
 
-_SRC = f"(select id, repository_id, path, extension, content from repository_files union all select id, repository_id, file_path, {_EXT.replace('path', 'file_path')}, content from repository_embeddings)"
-_SCRIPT_LINES = LINES.replace("repository_files", _SRC).format(keep="id") + " and lower(extension) in ('.js', '.jsx', '.ts', '.tsx')"
+_PICK = lambda k: "[" + ", ".join(quoted(x[k]) for x in PLANTED) + f"][doc_id % {len(PLANTED)} + 1]"
+_SRC = f"(select id, repository_id, path, extension, content from repository_files union all select id, repository_id, file_path, {_EXT.replace('path', 'file_path')}, content from repository_embeddings union all select 'doc-' || doc_id, repository_id, 'docs/' || doc_id || {_PICK(0)}, {_PICK(0)}, text || chr(10) || {_PICK(1)} from documents where text is not null)"
+_SCRIPT_LINES = LINES.format(keep="id").replace("repository_files", _SRC) + " and lower(extension) in ('.js', '.jsx', '.ts', '.tsx')"
 _ANY = ANY_SPLIT.format("content")
 _NORMAL = r"list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '' and not regexp_matches(x, '^(?:#|//|/\*|\*)'))"
 
@@ -166,7 +182,7 @@ SQL = {
     "security_scan": rf"""with f as (select id, repository_id, path, {_ANY} a from {_SRC} where content is not null and {basename("lower(coalesce(path, ''))")} not in ('requirements.txt', 'package.json')),
  g as (select id, repository_id, path, case when a[len(a)] = '' then a[:len(a) - 1] else a end a from f), l as (select id, repository_id, path, unnest(a) line, unnest(range(1, len(a) + 1)) line_number from g), h as ({_rule_hits(S.SECURITY, 'l', False)})
  select id, repository_id, path, line_number, severity, category, title, case category when 'Secrets' then 'Matched: ' || matched[:15] || '...' when 'Injection' then 'Raw SQL string concatenation parameter executed.' when 'Unsafe APIs' then 'Matched token: ' || matched else 'Matched cipher: ' || matched end evidence, line[:120] snippet from h""",
-    "line_smells": f"with l as ({LINES.replace('repository_files', _SRC).format(keep='id, extension')}), h as ({_rule_hits(S.LINE_SMELLS, 'l', True)}) select id, line_number, title as smell_type, category, severity, matched from h",
+    "line_smells": f"with l as ({LINES.format(keep='id, extension').replace('repository_files', _SRC)}), h as ({_rule_hits(S.LINE_SMELLS, 'l', True)}) select id, line_number, title as smell_type, category, severity, matched from h",
     "snippet_scan": rf"""with f as (select distinct id, snippet, {ANY_SPLIT.format('snippet')} a from security_issues where snippet is not null), g as (select id, case when a[len(a)] = '' then a[:len(a) - 1] else a end a from f),
  l as (select id, unnest(a) line, unnest(range(1, len(a) + 1)) line_number from g), h as ({_rule_hits(S.SECURITY, 'l', False)})
  select id, line_number, severity, category, title, case category when 'Secrets' then 'Matched: ' || matched[:15] || '...' when 'Injection' then 'Raw SQL string concatenation parameter executed.' when 'Unsafe APIs' then 'Matched token: ' || matched else 'Matched cipher: ' || matched end evidence from h""",
@@ -174,7 +190,7 @@ SQL = {
  n as (select *, s - least(0, min(s) over (partition by id order by line_number)) depth from s), o as (select *, coalesce(lag(depth) over (partition by id order by line_number), 0) + c as open from n) select id, line_number, open::bigint measured_value from o where c = 1 and open >= 3""",
     "promise_chains": rf"""with l as ({_SCRIPT_LINES}), x as (select id, line_number, regexp_matches(line, '\.then\s*\(') t, (not regexp_matches(line, '\.then\s*\(') and regexp_matches(line, '[;}}]'))::int r from l), i as (select *, sum(r) over (partition by id order by line_number) island from x),
  n as (select *, sum(t::int) over (partition by id, island order by line_number) n from i) select id, line_number, n::bigint measured_value from n where t and n >= 4""",
-    "large_matches": rf"""with l as ({LINES.replace('repository_files', _SRC).format(keep='id')} and lower(extension) = '.rs'), st as (select id, line_number as m from l where regexp_matches(line, '\bmatch\s+.*?\s*\{{')),
+    "large_matches": rf"""with l as ({LINES.format(keep='id').replace('repository_files', _SRC)} and lower(extension) = '.rs'), st as (select id, line_number as m from l where regexp_matches(line, '\bmatch\s+.*?\s*\{{')),
  x as (select st.id, m, line_number n, contains(line, '=>')::int arm, sum(contains(line, '{{')::int - contains(line, '}}')::int) over (partition by st.id, m order by line_number) + 1 depth from st join l on l.id = st.id and l.line_number > m),
  y as (select *, coalesce(max((depth <= 0)::int) over (partition by id, m order by n rows between unbounded preceding and 1 preceding), 0) ended from x) select id, m as line_number, sum(arm)::bigint measured_value from y where ended = 0 group by 1, 2 having sum(arm) > 8""",
     "duplication": f"""with f as (select repository_id, id, {_NORMAL} l from repository_files where content is not null), total as (select repository_id, sum(len(l))::bigint total_lines from f group by 1),
