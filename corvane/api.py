@@ -41,18 +41,21 @@ def analyze(spark: SparkSession, root: str, repository_id: str | None = None, di
     files = cut(read_files(spark, root, repository_id))
     text = files.where("is_text")
     lines = L.line_counts(text).select("id", "total_lines", "blank_lines", "comment_lines", "code_lines")
-    fns = A.file_complexity(A.functions(text))
+    known = cut(A.facts(text))
+    fns = A.file_complexity(known.select("id", F.inline("functions")))
     key = files.select("id", "repository_id", "path", X.module_type(F.col("path"), F.col("extension")).alias("module_type"))
     metrics = key.join(lines, "id", "left").join(fns, "id", "left")
-    smells = A.declaration_smells(text).unionByName(S.line_smells(text).select("id", "line_number", "smell_type", "severity", F.lit(1.0).alias("measured_value"), F.lit(0.0).alias("threshold"))).join(key.select("id", "repository_id", "path"), "id")
+    smells = A.declaration_smells(text, known).unionByName(S.line_smells(text).select("id", "line_number", "smell_type", "severity", F.lit(1.0).alias("measured_value"), F.lit(0.0).alias("threshold"))).join(key.select("id", "repository_id", "path"), "id")
     issues = S.security_issues(text)
     edges = G.import_edges(text)
     coupling = G.coupling(files.select("repository_id", "path").distinct(), edges)
     routed = text.withColumn("route", C.route(F.col("path"), F.col("extension"), F.col("content"))).where("route <> 'skip'")
-    whole = routed.where("route <> 'code'").select("repository_id", "path", F.lit(0).cast("long").alias("chunk_no"), F.lit(1).cast("long").alias("start_line"), L.n_lines(F.col("content")).alias("end_line"), "content")
-    code = C.windows(routed.where("route = 'code'"), "content", ["repository_id", "path"], 2000, 300).select("repository_id", "path", "chunk_no", "start_line", "end_line", "content")
-    chunks = whole.unionByName(code).withColumnRenamed("path", "file_path").withColumn("chunk_id", F.sha2(F.concat_ws("|", "repository_id", "file_path", "chunk_no"), 256))
-    chunks = V.hash_embedding(chunks, "content", ["repository_id", "chunk_id", "file_path", "start_line", "end_line", "content"], dim)
+    whole = routed.where("route <> 'code'").select("id", F.lit("Whole File").alias("chunk_type"), F.lit("").alias("names"), F.lit(1).cast("long").alias("start_line"), L.n_lines(F.col("content")).alias("end_line"), F.lit(None).cast("long").alias("part"), "content")
+    code = C.code_chunks(routed.where("route = 'code'"), known)
+    chunks = whole.unionByName(code).join(files.select("id", "repository_id", F.col("path").alias("file_path")), "id")
+    base = F.sha2(F.concat_ws("|", "repository_id", "file_path", "chunk_type", "names", "start_line"), 256)
+    chunks = chunks.withColumn("chunk_id", F.when(F.col("part").isNull(), base).otherwise(F.concat(base, F.lit("_"), F.col("part").cast("string"))))
+    chunks = V.hash_embedding(chunks, "content", ["repository_id", "chunk_id", "file_path", "chunk_type", "start_line", "end_line", "content"], dim)
     n = lambda s: F.sum((F.col("severity") == s).cast("long"))
     sec = issues.groupBy("repository_id").agg(security_score(n("Critical"), n("High"), n("Medium"), n("Low")).alias("security_score"))
     g = metrics.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("code_lines"), F.lit(0)).alias("code_lines"), F.bround(F.avg("file_complexity"), 2).alias("average_complexity"), F.max("max_complexity").alias("max_complexity"))

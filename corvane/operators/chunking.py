@@ -18,6 +18,9 @@ POINTS = [
     (11.0, ["db", "database", "schema", "prisma", "typeorm", "sqlalchemy", "migration", "postgres", "mysql", "sqlite"]),
 ]
 ROUTE_WORDS = ["api/", "route.ts", "controller", "router", "handler"]
+#: Endings of code and names of lock files; fixed values.
+CODE_ENDINGS = [".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".c", ".cpp", ".h", ".cs", ".rs", ".php", ".rb", ".kt"]
+LOCK_NAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock"]
 CORE_FILES = ["dockerfile", "docker-compose.yml", "package.json", "requirements.txt", "next.config"]
 
 
@@ -70,16 +73,19 @@ def readme_sections(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return d.where(F.trim(F.regexp_replace("h", r"\s", " ")) != "").select(*keep, "section", F.trim(F.regexp_replace(F.concat(F.when(F.col("section") > 0, "#").otherwise(""), "h"), r"^\s+|\s+$", "")).alias("content"))
 
 
-def merge_functions(functions: DataFrame, keep: list[str], gap: int = 15, span: int = 80) -> DataFrame:
-    """Groups of neighbouring functions of a file: keep, start_line, end_line, names, n.
+GROUPS = "array<struct<start_line:bigint,last_end:bigint,names:array<string>>>"
+
+
+def is_accessor(name: Column, loc: Column) -> Column:
+    return (loc <= 3) & (name.rlike("^(?:get|set)") | name.isin("toString", "toJSON", "constructor"))
+
 
-    functions: keep, name, line, loc. In order of lines a function joins the group before it if the gap to that group's last
-    function is small and the span from its first one stays within bounds; the fold depends on the group's begin, so it is an
-    aggregate over the file's sorted array. Accessors of up to three lines are left out.
+def function_groups(fs: Column, gap: int, span: int) -> Column:
+    """Groups of neighbouring functions, from an array of (line, loc, name) sorted by line.
+
+    A function joins the group before it if the gap to that group's last function is small and the span from its first one stays within
+    bounds; the fold depends on the group's begin, so it is an aggregate over the array.
     """
-    f = functions.where(~((F.col("loc") <= 3) & (F.col("name").rlike("^(?:get|set)") | F.col("name").isin("toString", "toJSON", "constructor"))))
-    g = f.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("line", "loc", "name"))).alias("fs"))
-    kind = "array<struct<start_line:bigint,last_end:bigint,names:array<string>>>"
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -87,12 +93,60 @@ def merge_functions(functions: DataFrame, keep: list[str], gap: int = 15, span:
         new = F.struct(x["line"].cast("bigint").alias("start_line"), end.alias("last_end"), F.array(x["name"]).alias("names"))
         joined = F.struct(last["start_line"].alias("start_line"), end.alias("last_end"), F.concat(last["names"], F.array(x["name"])).alias("names"))
         fits = (F.size(acc) > 0) & (x["line"] - last["last_end"] <= gap) & (end - last["start_line"] <= span)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(new))).cast(kind)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(new))).cast(GROUPS)
+
+    return F.aggregate(fs, F.array().cast(GROUPS), step)
 
-    groups = g.select(*keep, F.inline(F.aggregate("fs", F.array().cast(kind), step)))
+
+def merge_functions(functions: DataFrame, keep: list[str], gap: int = 15, span: int = 80) -> DataFrame:
+    """Groups of neighbouring functions of a file (see function_groups): keep, start_line, end_line, names, n. Accessors of up to three lines are left out.
+
+    functions: keep, name, line, loc; the functions of one file are gathered, which its text already held together.
+    """
+    g = functions.where(~is_accessor(F.col("name"), F.col("loc"))).groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("line", "loc", "name"))).alias("fs"))
+    groups = g.select(*keep, F.inline(function_groups(F.col("fs"), gap, span)))
     return groups.select(*keep, "start_line", F.col("last_end").alias("end_line"), F.array_join("names", ", ").alias("names"), F.size("names").alias("n"))
 
 
+def code_chunks(files: DataFrame, known: DataFrame, key: str = "id", small_class: int = 60, header: int = 25, limit: int = 3000) -> DataFrame:
+    """(key, chunk_type, names, start_line, end_line, part, content) of files of code; known: their facts (id, declarations, functions).
+
+    Classes under small_class lines are chunks, larger ones give their first `header` lines. Functions inside a small class and accessors are
+    left out, the others are merged with their neighbours. A file that declares neither is cut into windows of 800 that overlap by 150.
+    Chunks of more than `limit` characters are cut into windows of 2,000 that overlap by 300, numbered by part from 0; part is null for whole
+    ones. Everything is an expression over a file's own arrays: texts are shuffled once, to meet their facts.
+    """
+    d = files.where(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col(key).alias("__id"), "content").join(known.select(F.col("id").alias("__k"), "declarations", "functions"), F.col("__id") == F.col("__k"), "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    span = "array<struct<chunk_type:string,names:string,start_line:bigint,end_line:bigint>>"
+    as_span = lambda kind, names, a, z: F.struct(F.lit(kind).alias("chunk_type") if isinstance(kind, str) else kind.alias("chunk_type"), names.alias("names"), a.cast("bigint").alias("start_line"), z.cast("bigint").alias("end_line"))
+    classes = F.filter("declarations", lambda c: c["kind"].isin("class", "struct"))
+    loc = lambda c: c["end_line"] - c["line"] + 1
+    d = d.withColumn("__c", none(F.transform(classes, lambda c: F.when(loc(c) < small_class, as_span("Class", c["name"], c["line"], c["end_line"])).otherwise(as_span("Class Header", c["name"], c["line"], c["line"] + header - 1))), span))
+    inside = lambda f: F.exists("__c", lambda c: (c["chunk_type"] == "Class") & (c["start_line"] <= f["line"]) & (f["line"] + f["loc"] - 1 <= c["end_line"]))
+    free = F.filter("functions", lambda f: ~inside(f) & ~is_accessor(f["name"], f["loc"]))
+    fs = F.array_sort(F.transform(free, lambda f: F.struct(f["line"].alias("line"), f["loc"].alias("loc"), f["name"].alias("name"))))
+    groups = F.transform(function_groups(fs, 15, 80), lambda g: as_span(F.when(F.size(g["names"]) > 1, "Merged Functions").otherwise("Function"), F.array_join(g["names"], ", "), g["start_line"], g["last_end"] - 1))
+    d = d.withColumn("__f", none(groups, span)).withColumn("__lines", F.split("content", "\n", -1))
+    named = d.where(F.size("__c") + F.size("__f") > 0).select("__id", "__lines", F.inline(F.concat("__c", "__f")))
+    text = F.array_join(F.slice("__lines", F.col("start_line").cast("int"), F.greatest(F.lit(0), (F.col("end_line") - F.col("start_line") + 1).cast("int"))), "\n")
+    named = named.select("__id", "chunk_type", "names", "start_line", "end_line", text.alias("content"))
+    plain = windows(d.where(F.size("__c") + F.size("__f") == 0).select("__id", "content"), "content", ["__id"], 800, 150)
+    plain = plain.select("__id", F.lit("Window").alias("chunk_type"), F.col("chunk_no").cast("string").alias("names"), "start_line", "end_line", "content")
+    u = named.unionByName(plain)
+    whole = u.where(F.length("content") <= limit).withColumn("part", F.lit(None).cast("long"))
+    large = u.where(F.length("content") > limit).withColumnRenamed("start_line", "__first").drop("end_line").withColumnRenamed("content", "__t")
+    cut_up = windows(large, "__t", ["__id", "chunk_type", "names", "__first"], 2000, 300)
+    cut_up = cut_up.select("__id", "chunk_type", "names", (F.col("__first") + F.col("start_line") - 1).alias("start_line"), (F.col("__first") + F.col("end_line") - 1).alias("end_line"), "content", F.col("chunk_no").alias("part"))
+    return whole.unionByName(cut_up).withColumnRenamed("__id", key).select(key, "chunk_type", "names", "start_line", "end_line", "part", "content")
+
+
+def indexed_files(path: Column, ext: Column) -> Column:
+    """Whether a file is taken into the index of code: one of the endings of code, no lock file and not minified by name."""
+    n = basename(F.lower(path))
+    return F.lower(F.coalesce(ext, F.lit(""))).isin(*CODE_ENDINGS) & ~n.isin(*LOCK_NAMES) & ~F.contains(n, F.lit(".min.")) & ~F.contains(n, F.lit("-min."))
+
+
 def priority(path: Column, content: Column, chunk_type: Column, start_line: Column, end_line: Column, has_issue: Column) -> Column:
     """Points by which chunks are kept when there are too many."""
     p, c = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,5 +59,45 @@ def dimension_scores(t: DataFrame) -> DataFrame:
     return t.select("repository_id", r(arch).alias("architecture"), r(maint).alias("maintainability"), r(org).alias("organisation"), r(test).alias("testing"))
 
 
+#: Weights of the dimensions, and what documentation must have: name, words in a path, points; fixed values.
+WEIGHTS = {"architecture": 0.15, "maintainability": 0.25, "organisation": 0.15, "consistency": 0.10, "security": 0.20, "testing": 0.10, "documentation": 0.05}
+DOCUMENTS = [("installation", ["install", "setup"], 15), ("architecture", ["architecture", "design", "docs/arch"], 15), ("api", ["api", "swagger", "openapi"], 15), ("contributing", ["contributing", "contrib"], 10), ("license", ["license", "copying"], 5)]
+
+
+def documentation_scores(files: DataFrame, comment_ratio: DataFrame) -> DataFrame:
+    """(repository_id, documentation): 100 less what is missing: a read-me file at the root, paths of the given words, and comments in 15 percent of the lines.
+
+    comment_ratio: (repository_id, ratio); a repository that is not in it has no comments.
+    """
+    p = F.lower(F.coalesce("path", F.lit("")))
+    has = {n: reduce(lambda a, b: a | b, [F.contains(p, F.lit(w)) for w in words]) for n, words, _ in DOCUMENTS}
+    g = files.groupBy("repository_id").agg(F.max((p == "readme.md").cast("int")).alias("__readme"), *[F.max(c.cast("int")).alias(f"__{n}") for n, c in has.items()])
+    missing = F.when(F.col("__readme") == 0, 30).otherwise(0) + sum((F.when(F.col(f"__{n}") == 0, v).otherwise(0) for n, _, v in DOCUMENTS), F.lit(0)) + F.when(F.coalesce("ratio", F.lit(0.0)) < 0.15, 10).otherwise(0)
+    return g.join(comment_ratio, "repository_id", "left").select("repository_id", F.greatest(F.lit(0), 100 - missing).cast("int").alias("documentation"))
+
+
+def consistency_score(languages: Column, camel: Column, snake: Column) -> Column:
+    """100 less 5 for each language beyond three (at most 15) and 10 where file names are written in camel and in snake case."""
+    return clamp(100 - F.least(F.lit(15), 5 * F.greatest(F.lit(0), languages - 3)) - F.when(camel & snake, 10).otherwise(0)).cast("int")
+
+
+def assessment(files: DataFrame, languages: DataFrame, security: DataFrame, comment_ratio: DataFrame, compat: bool = False) -> DataFrame:
+    """(repository_id, the seven dimensions, total): languages (repository_id, languages), security (repository_id, security); unknown ones count as one language and 100.
+
+    compat gives what the rules come to where they are in use today: names are never found to be mixed, languages are never known, and
+    layers are never known, so that architecture has no bonus.
+    """
+    name = basename(F.coalesce("path", F.lit("")))
+    names = files.groupBy("repository_id").agg(F.max(name.rlike("[a-z][A-Z]").cast("int")).alias("camel"), F.max(F.contains(F.coalesce("path", F.lit("")), F.lit("_")).cast("int")).alias("snake"))
+    totals = repository_totals(files)
+    if compat:
+        totals = totals.withColumns({c: F.lit(0).cast("long") for c in ("controllers", "services", "repositories")})
+        names, languages = names.withColumn("camel", F.lit(0)), languages.withColumn("languages", F.lit(0))
+    j = dimension_scores(totals).join(names, "repository_id").join(languages, "repository_id", "left").join(security, "repository_id", "left").join(documentation_scores(files, comment_ratio), "repository_id")
+    j = j.withColumn("consistency", consistency_score(F.coalesce("languages", F.lit(1)), F.col("camel") == 1, F.col("snake") == 1)).withColumn("security", F.coalesce("security", F.lit(100)).cast("int"))
+    total = sum((F.col(k) * v for k, v in WEIGHTS.items()), F.lit(0.0))
+    return j.select("repository_id", *WEIGHTS, F.bround(total, 0).cast("int").alias("total"))
+
+
 def simulate(score: Column, gain: Column) -> Column:
     return clamp(score + gain)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.code import boost
+from corvane.session import shared_dir
 
 
 def _unit_rows(b: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
@@ -49,53 +52,48 @@ def search(chunks: DataFrame, query: list[float], k: int, vector: str = "embeddi
     return chunks.join(F.broadcast(top), F.col(key) == F.col("__key")).withColumn("similarity", F.round("__s", 4)).orderBy(F.desc("__s"), key).drop("__s", "__key")
 
 
-def search_many(data: DataFrame, queries: DataFrame, k: int, key: str, vector: str, dim: int, block: int = 1024) -> DataFrame:
+def search_many(data: DataFrame, queries: DataFrame, k: int, key: str, vector: str, dim: int, tile: int = 16_384, block: int = 256) -> DataFrame:
     """(query, key, similarity, rank): for each query row the k other rows of data with the highest cosine similarity, exactly.
 
-    Queries go in blocks of at most `block` vectors; each block is a scan of data in which every task keeps the k best of its part
-    for each query, so what is shuffled is k rows for each query and task.
+    Queries are stored in the shared folder; data is dealt to tiles, and the task of a tile reads the queries in blocks and keeps the k best
+    of its tile for each. What is shuffled is data once and k rows for each query and tile; the driver sees neither.
     """
-    q = queries.where(F.size(vector) == dim).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).orderBy("id")
-    out, ids, vecs = [], [], []
+    spark = data.sparkSession
     kind = dict(data.dtypes)[key]
-    schema = f"query {kind}, `{key}` {kind}, sim double"
-    sc = data.sparkSession.sparkContext
-
-    def flush() -> None:
-        x = np.array(vecs, np.float64)
-        n = np.linalg.norm(x, axis=1)
-        ok = np.isfinite(n) & (n > 0)
-        shared = sc.broadcast(([i for i, o in zip(ids, ok) if o], x[ok] / n[ok][:, None]))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qi, qx = shared.value
-            for b in batches:
-                names, x = _unit_rows(b, dim)
-                keys = names.to_pylist()
-                if not keys or not qi:
-                    continue
-                s = qx @ x.T
-                rows = []
-                for i, name in enumerate(qi):
-                    m = min(len(keys), k + 1)
-                    least = np.partition(s[i], len(keys) - m)[len(keys) - m]
-                    top = sorted(np.flatnonzero(s[i] >= least), key=lambda j: (-s[i, j], keys[j]))
-                    rows += [(name, keys[j], float(s[i, j])) for j in top[:m] if keys[j] != name]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["query", key, "sim"]), preserve_index=False)
-
-        out.append(data.where(F.size(vector) == dim).select(key, F.col(vector).cast("array<double>")).mapInArrow(best, schema))
-        ids.clear(), vecs.clear()
-
-    for r in q.toLocalIterator():
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == block:
-            flush()
-    if ids or not out:
-        flush() if ids else out.append(data.select(F.col(key).alias("query"), F.col(key), F.lit(0.0).alias("sim")).limit(0))
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
+    path = f"{shared_dir(spark).rstrip('/')}/queries_{uuid.uuid4().hex}"
+    usable = lambda d: d.where((F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    usable(queries).write.parquet(path)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(n.to_pylist(), x) for n, x in (_unit_rows(b, dim) for b in batches) if len(n)]
+        if not own:
+            return
+        keys, x = np.array([i for n, _ in own for i in n], object), np.concatenate([v for _, v in own])
+        order = np.argsort(keys, kind="stable")
+        keys, x = keys[order], x[order]  # ties go to the smaller key, which is the smaller place now
+        fs, at = pa.fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        stored = pa.dataset.dataset(at, filesystem=fs, format="parquet", schema=pa.schema([("k", arrow), ("v", pa.list_(pa.float64()))]))
+        for b in stored.to_batches(batch_size=block, use_threads=False, batch_readahead=1, fragment_readahead=1):
+            names, q = _unit_rows(b, dim)
+            names = np.array(names.to_pylist(), object)
+            for t in range(0, len(keys) if len(names) else 0, tile):
+                s = q @ x[t : t + tile].T
+                m = min(s.shape[1], k + 1)
+                least = np.partition(s, s.shape[1] - m, axis=1)[:, -m]
+                i, j = np.nonzero(s >= least[:, None])
+                o = np.lexsort((j, -s[i, j], i))
+                i, j = i[o], j[o]
+                start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+                first = np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else i
+                ok = (np.arange(len(i)) - first < m) & (names[i] != keys[t + j])
+                i, j = i[ok], j[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(names[i].tolist(), arrow), pa.array(keys[t + j].tolist(), arrow), pa.array(s[i, j], pa.float64())], names=["query", key, "sim"])
+
+    d = usable(data)
+    found = d.repartition(max(1, -(-d.count() // tile)), "k").mapInArrow(best, f"query {kind}, `{key}` {kind}, sim double")
     w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
-    u = reduce(DataFrame.unionByName, out)
-    return u.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", key, F.round("sim", 4).alias("similarity"), "rank")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query", key, F.round("sim", 4).alias("similarity"), "rank")
 
 
 def rerank(hits: DataFrame, limit: int, path: str = "file_path", key: str = "chunk_id") -> DataFrame:
@@ -141,11 +139,23 @@ def neighbours(hits: DataFrame, chunks: DataFrame, reach: int = 150) -> DataFram
     return seen.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("repository_id", "chunk_id", "file_path", "start_line", "content", F.lit(0.8).alias("similarity"))
 
 
-def within_budget(rows: DataFrame, order: list, length: Column, budget: int = 8000, group: list[str] | None = None) -> DataFrame:
-    """Rows, in order, until their lengths' sum exceeds the budget; the first is always kept and nothing after the first that is too much."""
-    w = Window.partitionBy(*(group or [])).orderBy(*order)
-    d = rows.withColumn("__n", length).withColumn("__r", F.row_number().over(w)).withColumn("__s", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.where((F.col("__r") == 1) | (F.col("__s") <= budget)).drop("__n", "__r", "__s")
+def within_budget(rows: DataFrame, order: list[str], length: Column, budget: int = 8000, group: list[str] | None = None) -> DataFrame:
+    """Rows, in ascending order, until their lengths' sum exceeds the budget; the first is always kept and nothing after the first that is too much.
+
+    Of a group at most budget + 1 rows with a length can matter for where it ends; only these reach its window, as a limit before and after
+    the shuffle. The rows themselves are then compared with that end.
+    """
+    keys = [F.col(g) for g in group or []]
+    d = rows.withColumn("__n", length).withColumn("__o", F.struct(*order))
+    w = Window.partitionBy(*keys).orderBy("__o")
+    head = d.where("__n > 0").select(*keys, "__o", "__n").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= budget + 1)
+    named = [F.col(g).alias(f"__g{i}") for i, g in enumerate(group or [])]
+    ends = head.withColumn("__s", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__s") > budget).groupBy(*named).agg(F.min("__o").alias("__stop"))
+    first = d.groupBy(*[k.alias(f"__h{i}") for i, k in enumerate(keys)]).agg(F.min("__o").alias("__first"))
+    same = lambda c: [F.col(g).eqNullSafe(F.col(f"__{c}{i}")) for i, g in enumerate(group or [])] or F.lit(True)
+    j = d.join(ends, same("g"), "left").join(first, same("h"), "left")
+    kept = F.col("__stop").isNull() | (F.col("__o") < F.col("__stop")) | (F.col("__o") == F.col("__first"))
+    return j.where(kept).select(*rows.columns)
 
 
 def confidence(evidence: DataFrame, group: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["references", "source", "knowledge", "overview", "insight", "graphs"]
+MODULES = ["references", "source", "knowledge", "overview", "insight", "graphs", "quality"]
 
 
 def _collect(what: str) -> dict:

@@ -128,11 +128,18 @@ def question_evidence(spark, d):
 
 
 def vulnerable_packages(spark, d):
-    """Packages pinned at or below a version: name equal, version parts compared one by one."""
-    known = spark.createDataFrame([("halyard", [9, 0, 0]), ("osprey", [5, 5, 5]), ("kestrelite", [3, 2, 3])], "package string, upto array<int>")
-    s = table(spark, d, "security_issues").where("lower(trim(category)) = 'dependencies' and snippet is not null").select("id", F.trim(F.regexp_replace("snippet", r"\s", " ")).alias("s")).distinct()
-    p = s.select("id", F.regexp_extract("s", r"([A-Za-z][\w-]*)", 1).alias("package"), X.version_parts(F.regexp_extract("s", r"(\d+(?:\.\d+)*)", 1)).alias("v"))
-    return p.join(F.broadcast(known), "package").where(F.col("v") <= F.col("upto")).select("id", "package")
+    """Packages pinned at or below a version: name equal, version parts compared one by one. The list of packages is a table of the reports' own: of
+    each package that a dependency report of high severity names, the highest version that is reported."""
+    known = _pinned(spark, d, "High").groupBy("package").agg(F.max("v").alias("upto"))
+    p = _pinned(spark, d, None)
+    return p.join(known, "package").where(F.col("v") <= F.col("upto")).select("id", "package").distinct()
+
+
+def _pinned(spark, d, severity):
+    """(id, package, v): the packages that dependency reports name, with the parts of their versions."""
+    s = _issues(spark, d).where("category = 'dependencies' and snippet is not null")
+    s = (s.where(F.col("severity") == severity) if severity else s).select("id", F.trim(F.regexp_replace("snippet", r"\s", " ")).alias("s"))
+    return s.select("id", F.regexp_extract("s", r"([A-Za-z][\w-]*)", 1).alias("package"), X.version_parts(F.regexp_extract("s", r"(\d+(?:\.\d+)*)", 1)).alias("v"))
 
 
 def layout(spark, d):
@@ -181,8 +188,8 @@ def _sql() -> dict[str, str]:
  select stage, chunk_id, similarity from (select *, row_number() over (partition by content order by stage, chunk_id) r from u) where r = 1""",
         "layout": "with a as (select id, 2 * pi() * (row_number() over (partition by repository_id order by path, id) - 1) / count(*) over (partition by repository_id) a from repository_files where path is not null) select id, round(200 + 150 * cos(a), 4) x, round(200 + 150 * sin(a), 4) y from a",
         "line_ranges": "with i as (select distinct on (id) * from security_issues where line_number >= 1), f as (select repository_id, path, min(content) content from repository_files where content is not null group by 1, 2) select i.id, md5(coalesce(string_split(content, chr(10))[line_number], '')) digest from i join f on f.repository_id = i.repository_id and f.path = i.file_path",
-        "vulnerable_packages": r"""with s as (select distinct id, trim(regexp_replace(snippet, '\s', ' ', 'g')) s from security_issues where lower(trim(category)) = 'dependencies' and snippet is not null), p as (select id, regexp_extract(s, '([A-Za-z][\w-]*)', 1) package, list_transform(string_split(regexp_extract(s, '(\d+(?:\.\d+)*)', 1), '.'), lambda x: coalesce(try_cast(x as int), 0)) v from s)
- select id, package from p where (package = 'halyard' and v <= [9, 0, 0]) or (package = 'osprey' and v <= [5, 5, 5]) or (package = 'kestrelite' and v <= [3, 2, 3])""",
+        "vulnerable_packages": rf"""with s as (select id, severity, trim(regexp_replace(snippet, '\s', ' ', 'g')) s from {_I} where category = 'dependencies' and snippet is not null), p as (select id, severity, regexp_extract(s, '([A-Za-z][\w-]*)', 1) package, list_transform(string_split(regexp_extract(s, '(\d+(?:\.\d+)*)', 1), '.'), lambda x: coalesce(try_cast(x as int), 0)) v from s),
+ known as (select package, max(v) upto from p where severity = 'High' group by 1) select distinct p.id, p.package from p join known k using (package) where p.v <= k.upto""",
     }
 
 
