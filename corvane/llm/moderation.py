@@ -47,8 +47,14 @@ UNDERSCORED = re.compile(r"(?<![^\W_])[^\W\d_](?:_[^\W\d_])+(?![^\W_])")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:(?:-[^\W\d_])+|(?:\.[^\W\d_])+(?:\.(?=\s+[^\W\d_]))?|(?:_[^\W\d_])+|(?: [^\W\d_]){2,})(?![^\W_])")
 LEETED = re.compile(r"(?<![\w@$!|])(?=[^\W\d_]*[\d@$!|])(?=[\d@$!|_]*[^\W\d_])[\w@$!|]+")
 FORMAT = dict.fromkeys(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")
-FOREIGN = re.compile(r"[^\W\d_]*[Ͱ-ӿԀ-ԯ][^\W\d_]*")
-LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items() if ord(k) < 0x370})
+FOREIGN_LETTER = re.compile("[Ͱ-ӿԀ-ԯ]")
+FOREIGN = re.compile(r"(?<![^\W\d_])[^\W\d_]*[Ͱ-ӿԀ-ԯ][^\W\d_]*")
+LATIN = [(k, v) for k, v in LOOKALIKES.items() if ord(k) < 0x370]
+ODD_LATIN = re.compile("[" + "".join(k for k, _ in LATIN) + "]")
+#: Three letters, or two, with anything between.
+THREE, TWO = (re.compile(r"[^\W\d_][\W\d_]*" * (n - 1) + r"[^\W\d_]") for n in (3, 2))
+REPEATED = re.compile(r"([^\W\d_]|\*)\1+")
+SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\s*[\r\n]+\s*")
 
 
 #: Words of letters alone, set apart by blanks in backticks or by slashes: speech that is dressed up as code.
@@ -76,20 +82,22 @@ def plain(text: str) -> str:
     t = text if latin else unicodedata.normalize("NFKC", text).translate(FORMAT)
     t = CODE.sub(_mask, UNDERSCORED.sub(lambda m: m[0].replace("_", ""), t)).lower()
     if not latin:
-        t = FOREIGN.sub(_latin, t).translate(LATIN)
+        t = FOREIGN.sub(_latin, t) if FOREIGN_LETTER.search(t) else t
+        for k, v in LATIN if ODD_LATIN.search(t) else ():
+            t = t.replace(k, v)
     t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), t.replace("- -", " "))
     t = LEETED.sub(_unleet, re.sub(r"(?<!\S)@", "@ ", t))
     if not latin:
         t = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", t))
-    return re.sub(r"\d+", "0", re.sub(r"([^\W\d_]|\*)\1+", r"\1", t))
+    return re.sub(r"\d+", "0", REPEATED.sub(r"\1", t))
 
 
 def windows(text: str, size: int = 64) -> list[str]:
     """The sentences and lines of the whole text, plain; those longer than size in parts that overlap by half. One letter, or two Latin ones, say nothing."""
     out = []
-    for s in re.split(r"(?<=[.!?。！？])\s+|\s*[\r\n]+\s*", plain(text)):
-        s = re.sub(r"\s+", " ", s).strip(" -*>#:.!?")
-        if len(re.findall(r"[^\W\d_]", s)) < (3 if s.isascii() else 2):
+    for s in SENTENCE.split(plain(text)):
+        s = " ".join(s.split()).strip(" -*>#:.!?")
+        if not (THREE if s.isascii() else TWO).search(s):
             continue
         out.append(s[:size])
         for i in range(size // 2, len(s) - size // 2, size // 2):
@@ -187,17 +195,24 @@ def near_shares(candidates: set[str], docs: list[tuple[int, list[str]]], similar
     for i, (_, ws) in enumerate(docs):
         for w in ws:
             owners.setdefault(words(w), set()).add(i)
-    index: dict[str, list[frozenset]] = {}
+    seen: dict[str, int] = {}
     for k in owners:
         for x in k:
+            seen[x] = seen.get(x, 0) + 1
+    # sets this similar share one of their rarest words: as many as may be missing from the other, and one more
+    rarest = lambda k: sorted(k, key=lambda x: (seen.get(x, 0), x))[: len(k) - math.ceil(similarity * len(k)) + 1]
+    index: dict[str, list[frozenset]] = {}
+    for k in owners:
+        for x in rarest(k):
             index.setdefault(x, []).append(k)
     out = {}
     for w in candidates:
         k = words(w)
-        rare = sorted(k, key=lambda x: (len(index.get(x, ())), x))
-        near = {k} & owners.keys()
-        for x in rare[: len(k) - math.ceil(similarity * len(k)) + 1]:  # sets this similar share at least one of these words
-            near |= {o for o in index.get(x, ()) if len(k & o) >= similarity * len(k | o)}
+        near, n = {k} & owners.keys(), len(k)
+        for o in {o for x in rarest(k) for o in index.get(x, ()) if similarity * n <= len(o) <= n / similarity}:
+            both = len(k & o)
+            if both >= similarity * (n + len(o) - both):
+                near.add(o)
         ids = set().union(*(owners[o] for o in near)) if near else set()
         bad = sum(docs[i][0] for i in ids)
         out[w] = (len(ids) - bad, bad)
@@ -319,7 +334,7 @@ def rough_words(text: str) -> list[str]:
     t = text.lower()
     if not t.isascii():
         t = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t))
-    return WORD.findall(re.sub(r"([^\W\d_]|\*)\1+", r"\1", t))
+    return WORD.findall(REPEATED.sub(r"\1", t))
 
 
 def counts(documents: DataFrame, docs: list[tuple[int, bool, list[str]]]) -> tuple[int, dict[str, int], dict[tuple[str, str], int]]:
