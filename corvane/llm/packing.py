@@ -127,7 +127,7 @@ def pack_items(df: DataFrame, item: str, size: str, capacities: list[tuple[str,
     full, rest = F.floor(F.col("total") / F.col("capacity")), F.col("total") % F.col("capacity")
     last = d.select("*", full.alias("piece_no"), (full * F.col("capacity")).alias("start"), rest.alias("size")).where((F.col("size") > 0) | (F.col("total") == 0))
     whole = d.where(F.col("total") >= F.col("capacity")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no")).select("*", (F.col("piece_no") * F.col("capacity")).alias("start"), F.col("capacity").alias("size"))
-    pieces = any_rank(last.unionByName(whole.select(last.columns)).where("size > 0"), ["container_kind", "size"], [item, "piece_no"], "rank", parts_for(items))
+    pieces = any_rank(last.unionByName(whole.select(last.columns)).where("size > 0"), ["container_kind", "size"], [item, "piece_no"], "rank", parts_for(df))
     pieces = cut(pieces.select("container_kind", item, "piece_no", "start", "size", "rank"))
     hist = pieces.groupBy("container_kind", "size").agg(F.count(F.lit(1)).alias("n")).toPandas()
     tables = {}
