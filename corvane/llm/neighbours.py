@@ -273,6 +273,7 @@ class Best:
     def __init__(self, keys: np.ndarray, q: np.ndarray, s: Search):
         self.keys, self.q, self.s, self.k = keys, q, s, s.k
         self.sim, self.member = np.full((len(q), s.k), -np.inf), np.zeros((len(q), s.k), np.int64)
+        self.rest = 0  # calls for which the test is left out, because it left too many
 
     def meet(self, keys: np.ndarray, m: np.ndarray, who: np.ndarray | None = None, step: int = 1024, slice_pairs: int = 131_072) -> None:
         """Takes in members, for the queries `who` (all, exactly, if it is None)."""
@@ -284,9 +285,10 @@ class Best:
 
     def _candidates(self, q: np.ndarray, m: np.ndarray, kth: np.ndarray, test: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that may belong to the k best. Abandoned is what is further than the k-th best so far, by a test on the first blocks of
-        columns where it leaves few (below that, all columns at once cost less); the rest is compared in single precision with a margin."""
+        columns where it leaves few (else all columns at once cost less, and the test is tried again after a while); the rest is compared in single precision with a margin."""
         dim, d = q.shape[1], self.s.block
-        if test and d < dim and np.isfinite(kth).all():
+        self.rest = max(0, self.rest - 1)
+        if test and d < dim and not self.rest and np.isfinite(kth).all():
             r2 = 2 - 2 * kth
             factor = lambda d: (d / dim) * (1 + self.s.epsilon / np.sqrt(d)) ** 2 if d < dim else 1 + 1e-5
             part = (q[:, :d] ** 2).sum(1)[:, None] + (m[:, :d] ** 2).sum(1)[None, :] - 2 * (q[:, :d] @ m[:, :d].T)
@@ -299,6 +301,7 @@ class Best:
                     ok = p <= r2[i] * factor(z) + 1e-5
                     i, j, p, d = i[ok], j[ok], p[ok], z
                 return i, j
+            self.rest = 256
         s = q @ m.T
         least = kth - 1e-5
         rows = np.flatnonzero(s.max(1) >= least)
@@ -370,6 +373,7 @@ def all_near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
         demand: dict[int, int] = {}
         for l, w in who.items():
             demand[l // a_bucket] = demand.get(l // a_bucket, 0) + len(w)
+        width = 64  # the first blocks are small: until there are k, every member of a block is taken in
         for bucket in sorted(demand, key=lambda b: -demand[b]):  # the queries' own lists first: their k-th best is soon near
             if fs.get_file_info(f"{at}/bucket={bucket}").type == pa.fs.FileType.NotFound:
                 continue
@@ -381,7 +385,7 @@ def all_near_classes(reps: DataFrame, dim: int, s: Search) -> DataFrame:
                 lst, keys, v = b.column(0).to_numpy(), b.column(1).to_numpy(), _floats(b.column(2), dim)
                 edges = np.r_[0, np.flatnonzero(np.diff(lst)) + 1, len(lst)]
                 for i, z in zip(edges, edges[1:]):
-                    x, width = i, 64  # the first blocks are small: until there are k, every member of a block is taken in
+                    x = i
                     while x < z:
                         best.meet(keys[x : min(z, x + width)], v[x : min(z, x + width)], None if exact else who[int(lst[i])])
                         x, width = x + width, min(2048, 4 * width)
