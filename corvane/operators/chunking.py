@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.code import basename, has_any
+from corvane.session import cut
 
 #: Points for what a chunk's path or content contains; fixed values.
 SECRET_WORDS = ["api_key", "apikey", "secret", "password", "passwd", "token", "auth_token", "private_key"]
@@ -114,24 +115,31 @@ def code_chunks(files: DataFrame, known: DataFrame, key: str = "id", small_class
     Classes under small_class lines are chunks, larger ones give their first `header` lines. Functions inside a small class and accessors are
     left out, the others are merged with their neighbours. A file that declares neither is cut into windows of 800 that overlap by 150.
     Chunks of more than `limit` characters are cut into windows of 2,000 that overlap by 300, numbered by part from 0; part is null for whole
-    ones. Everything is an expression over a file's own arrays: texts are shuffled once, to meet their facts.
+    ones. Everything is an expression over a file's own arrays: texts are shuffled once, to meet their facts, and written once.
     """
     d = files.where(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col(key).alias("__id"), "content").join(known.select(F.col("id").alias("__k"), "declarations", "functions"), F.col("__id") == F.col("__k"), "left")
     none = lambda c, t: F.coalesce(c, F.array().cast(t))
     span = "array<struct<chunk_type:string,names:string,start_line:bigint,end_line:bigint>>"
-    as_span = lambda kind, names, a, z: F.struct(F.lit(kind).alias("chunk_type") if isinstance(kind, str) else kind.alias("chunk_type"), names.alias("names"), a.cast("bigint").alias("start_line"), z.cast("bigint").alias("end_line"))
-    classes = F.filter("declarations", lambda c: c["kind"].isin("class", "struct"))
+    as_span = lambda kind, names, a, z: F.struct(kind.alias("chunk_type"), names.alias("names"), a.cast("bigint").alias("start_line"), z.cast("bigint").alias("end_line"))
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731 - binds a value, so that it is computed once for a row
     loc = lambda c: c["end_line"] - c["line"] + 1
-    d = d.withColumn("__c", none(F.transform(classes, lambda c: F.when(loc(c) < small_class, as_span("Class", c["name"], c["line"], c["end_line"])).otherwise(as_span("Class Header", c["name"], c["line"], c["line"] + header - 1))), span))
-    inside = lambda f: F.exists("__c", lambda c: (c["chunk_type"] == "Class") & (c["start_line"] <= f["line"]) & (f["line"] + f["loc"] - 1 <= c["end_line"]))
-    free = F.filter("functions", lambda f: ~inside(f) & ~is_accessor(f["name"], f["loc"]))
-    fs = F.array_sort(F.transform(free, lambda f: F.struct(f["line"].alias("line"), f["loc"].alias("loc"), f["name"].alias("name"))))
-    groups = F.transform(function_groups(fs, 15, 80), lambda g: as_span(F.when(F.size(g["names"]) > 1, "Merged Functions").otherwise("Function"), F.array_join(g["names"], ", "), g["start_line"], g["last_end"] - 1))
-    d = d.withColumn("__f", none(groups, span)).withColumn("__lines", F.split("content", "\n", -1))
-    named = d.where(F.size("__c") + F.size("__f") > 0).select("__id", "__lines", F.inline(F.concat("__c", "__f")))
-    text = F.array_join(F.slice("__lines", F.col("start_line").cast("int"), F.greatest(F.lit(0), (F.col("end_line") - F.col("start_line") + 1).cast("int"))), "\n")
-    named = named.select("__id", "chunk_type", "names", "start_line", "end_line", text.alias("content"))
-    plain = windows(d.where(F.size("__c") + F.size("__f") == 0).select("__id", "content"), "content", ["__id"], 800, 150)
+    classes = F.transform(F.filter("declarations", lambda c: c["kind"].isin("class", "struct")), lambda c: F.when(loc(c) < small_class, as_span(F.lit("Class"), c["name"], c["line"], c["end_line"])).otherwise(as_span(F.lit("Class Header"), c["name"], c["line"], c["line"] + header - 1)))
+
+    def with_functions(cs: Column) -> Column:
+        inside = lambda f: F.exists(cs, lambda c: (c["chunk_type"] == "Class") & (c["start_line"] <= f["line"]) & (f["line"] + f["loc"] - 1 <= c["end_line"]))
+        free = F.filter("functions", lambda f: ~inside(f) & ~is_accessor(f["name"], f["loc"]))
+        fs = F.array_sort(F.transform(free, lambda f: F.struct(f["line"].alias("line"), f["loc"].alias("loc"), f["name"].alias("name"))))
+        groups = F.transform(function_groups(fs, 15, 80), lambda g: as_span(F.when(F.size(g["names"]) > 1, "Merged Functions").otherwise("Function"), F.array_join(g["names"], ", "), g["start_line"], g["last_end"] - 1))
+        return F.concat(cs, none(groups, span))
+
+    def with_text(ls: Column) -> Column:
+        text = lambda x: F.array_join(F.slice(ls, x["start_line"].cast("int"), F.greatest(F.lit(0), (x["end_line"] - x["start_line"] + 1).cast("int"))), "\n")
+        return F.transform(once(none(classes, span), with_functions), lambda x: F.struct(x["chunk_type"].alias("chunk_type"), x["names"].alias("names"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), text(x).alias("content")))
+
+    d = d.select("__id", "content", once(F.split("content", "\n", -1), with_text).alias("__s"))
+    d = cut(d.select("__id", "__s", F.when(F.size("__s") == 0, F.col("content")).alias("content")))
+    named = d.select("__id", F.inline("__s"))
+    plain = windows(d.where("content is not null").select("__id", "content"), "content", ["__id"], 800, 150)
     plain = plain.select("__id", F.lit("Window").alias("chunk_type"), F.col("chunk_no").cast("string").alias("names"), "start_line", "end_line", "content")
     u = named.unionByName(plain)
     whole = u.where(F.length("content") <= limit).withColumn("part", F.lit(None).cast("long"))
