@@ -69,10 +69,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"^.+?(\.[^.]*)$", 1))
 
 
-def last_extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(basename(path), r"^.*[^.].*?(\.[^.]*)$", 1))
-
-
 def normalise_path(path: Column) -> Column:
     """Folds away '.', '..' and empty parts; a '..' above the root stays, as normpath does for relative paths."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
@@ -141,10 +137,6 @@ def grade(score: Column, bands: list[tuple[str, int]] = GRADES, rest: str = "F")
     return out
 
 
-def ratio(a: Column, b: Column, default: float = 0.0) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(default))
-
-
 def version_parts(version: Column) -> Column:
     """Leading numbers of the dotted parts of a version; parts without one are 0."""
     return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\D*(\d+)", 1).try_cast("int"), F.lit(0)))
@@ -152,10 +144,3 @@ def version_parts(version: Column) -> Column:
 
 def valid_repository_url(url: Column) -> Column:
     return F.coalesce(F.trim(url).rlike(r"^https?://github\.com/[\w.-]+/[\w.-]+?(?:\.git)?/?$"), F.lit(False))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays of numbers of one length; null if a norm is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n > 0, dot(a, b) / n)

@@ -14,6 +14,8 @@ from corvane.operators import lines as L
 from corvane.operators import scanners as R
 from corvane.operators import scoring as S
 from corvane.operators.order import rank_spread
+from corvane.plans.graphs import _FOURS as FOURS_SQL
+from corvane.plans.graphs import _G as GRAPH_SQL
 from corvane.plans.knowledge import _once
 from corvane.plans.overview import _I as ISSUE_SQL
 from corvane.plans.overview import _INT as INTENT_SQL
@@ -188,6 +190,39 @@ def routed_evidence(spark, d):
     return u.withColumn("n", F.row_number().over(one)).where("n = 1").select("id", "stage", "place", "chunk_id", "similarity")
 
 
+def readme_sections(spark, d):
+    """Read-me texts cut before each heading."""
+    r = table(spark, d, "documents").where("text is not null").where(F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_") == "readme")
+    c = C.readme_sections(r, "text", ["doc_id"])
+    return c.select("doc_id", F.col("section").cast("long").alias("section"), F.md5("content").alias("digest"))
+
+
+def best_chunks(spark, d):
+    """The twenty longest chunks of each repository."""
+    c = _once(spark, d, "repository_id", F.length(F.coalesce("content", F.lit(""))).alias("score"))
+    return C.best_chunks(c.where("repository_id is not null"), 20).select("repository_id", "id", F.col("place").cast("long").alias("place"))
+
+
+def fine_grades(spark, d):
+    """The stored score of each repository in finer grades; none without a score."""
+    s = F.col("health_score")
+    return table(spark, d, "repositories").select("id", F.when(s.isNotNull(), X.grade(s, X.FINE_GRADES)).alias("grade"))
+
+
+def graph_scores(spark, d):
+    """Architecture scores of the linked sources (see plans/graphs.py): cycles, highly coupled files, violations by configuration, share of unknown modules."""
+    from corvane.operators import graph as G
+    from corvane.plans.graphs import _edges
+
+    f, e = _edges(spark, d)
+    coupled = G.coupling(f.select("repository_id", "path"), e).groupBy("repository_id").agg(F.sum((F.col("coupling") > 3).cast("long")).alias("coupled"))
+    bad = G.layer_violations(e, f.select("repository_id", "path", F.col("module_type").alias("module"))).where("kind = 'configuration'").groupBy("repository_id").agg(F.count(F.lit(1)).alias("bad"))
+    cycles = G.cycle_list(e).groupBy("repository_id").agg(F.count(F.lit(1)).alias("cycles"))
+    unknown = f.groupBy("repository_id").agg(F.avg((F.col("module_type") == "Unknown").cast("double")).alias("unknown"))
+    j = unknown.join(coupled, "repository_id", "left").join(bad, "repository_id", "left").join(cycles, "repository_id", "left").na.fill(0)
+    return j.select("repository_id", G.architecture_score(F.col("cycles"), F.col("coupled"), F.col("bad"), F.col("unknown")).cast("int").alias("score"))
+
+
 def files_and_count(spark, d):
     """The first ten files of each repository by path, with the number of all its files."""
     f = _files(spark, d).where("path is not null").select("id", "repository_id", "path")
@@ -196,7 +231,7 @@ def files_and_count(spark, d):
     return r.join(n, "repository_id").select("repository_id", "id", "r", "total")
 
 
-QUERIES = {f.__name__: f for f in (large_files, smells_by_file, smells_page, assessments, overview_documents, smell_documents, roadmap, roadmap_without_magic, repetition_principle, code_chunks, fallback_chunks, indexed_files, declared_lines, dependency_lines_of_code, folders, manifest_packages, stacks, routed_evidence, files_and_count)}
+QUERIES = {f.__name__: f for f in (large_files, smells_by_file, smells_page, assessments, overview_documents, smell_documents, roadmap, roadmap_without_magic, repetition_principle, code_chunks, fallback_chunks, indexed_files, declared_lines, dependency_lines_of_code, folders, manifest_packages, stacks, routed_evidence, files_and_count, readme_sections, best_chunks, fine_grades, graph_scores)}
 
 _CODE = ", ".join(quoted(e) for e in [".md", *C.CODE_ENDINGS])
 _LARGE = rf"""(select id, code from (select id, filled - case when e in ('.py', '.rb') then hashed else greatest(0, filled - code_left) end code from (select id, lower(extension) e, len(list_filter(string_split(content, chr(10)), lambda x: trim(regexp_replace(x, '\s', ' ', 'g')) <> '')) filled,
@@ -248,5 +283,12 @@ SQL = {
  u as (select id, 0 stage, 1 place, repository_id chunk_id, 1.0::double similarity, 'Repository ' || repository_id as content from q where intent in ('GENERAL_OVERVIEW', 'TECH_STACK', 'ARCHITECTURE') union all select q.id, 0, 2, rm.chunk_id, 1.0, rm.content from q join rm using (repository_id) where intent in ('GENERAL_OVERVIEW', 'TECH_STACK', 'ARCHITECTURE')
   union all select q.id, 1, r, t.chunk_id, 0.9, t.content from q join t using (repository_id) where r <= case when intent = 'CODE_SEMANTIC' then 4 else 2 end)
  select id, stage, place, chunk_id, similarity from (select *, row_number() over (partition by id, content order by stage, place) n from u) where n = 1""",
+    "readme_sections": r"""with s as (select doc_id, string_split(text, chr(10) || '#') a from documents where text is not null and regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') = 'readme'), h as (select doc_id, unnest(a) h, unnest(range(0, len(a))) section from s)
+ select doc_id, section, md5(regexp_replace(case when section > 0 then '#' else '' end || h, '^\s+|\s+$', '', 'g')) digest from h where trim(regexp_replace(h, '\s', ' ', 'g')) <> ''""",
+    "best_chunks": "select repository_id, id, place from (select repository_id, id, row_number() over (partition by repository_id order by length(coalesce(content, '')) desc, id) place from (select distinct on (chunk_id) * from repository_embeddings order by chunk_id, id) where repository_id is not null) where place <= 20",
+    "fine_grades": "select id, case when health_score is null then null when health_score >= 97 then 'A+' when health_score >= 93 then 'A' when health_score >= 90 then 'A-' when health_score >= 87 then 'B+' when health_score >= 83 then 'B' when health_score >= 80 then 'B-' when health_score >= 75 then 'C+' when health_score >= 70 then 'C' when health_score >= 60 then 'D' else 'F' end grade from repositories",
+    "graph_scores": f"""with {GRAPH_SQL}{FOURS_SQL}, v as (select e.repository_id, count(*) bad from e join one a on a.repository_id = e.repository_id and a.path = e.src join one b on b.repository_id = e.repository_id and b.path = e.dst where a.module_type = 'Configuration' and b.module_type in ('Controller', 'Service', 'Repository', 'API') group by 1),
+ u as (select repository_id, avg((module_type = 'Unknown')::int) unknown_share from one group by 1), h as (select repository_id, sum((coupling > 3)::int) coupled from c group by 1), y as (select repository_id, count(*) cycles from k group by 1)
+ select repository_id, greatest(0, least(100, round_even(100 - 15 * coalesce(cycles, 0) - 5 * coalesce(coupled, 0) - 10 * coalesce(bad, 0) - 20 * unknown_share, 0)))::int score from u left join h using (repository_id) left join y using (repository_id) left join v using (repository_id)""",
     "files_and_count": "select repository_id, id, r, total from (select repository_id, id, row_number() over (partition by repository_id order by path, id) r, count(*) over (partition by repository_id) total from repository_files where path is not null) where r <= 10",
 }

@@ -24,7 +24,7 @@ PLANTED = [
     (".c", "goto out;\nstrcpy(a, b);\nsprintf (c, d);"),
     (".go", "_, err := open(name)\n_ = close(f)"),
     (".java", "try { run(); } catch (IOException e) { }"),
-    (".py", "def add(item, seen=[]):\n    return hashlib.sha1(item)\npassword = 'swordfish-11'\ncur.execute(f'select {x}')\nsubprocess.run(cmd, shell=True)"),
+    (".py", "def add(item, seen=[]):\n    return hashlib.sha1(item)\npassword = 'swordfish-11'\ncur.execute(f'select {x}')\nsubprocess.run(cmd, shell=True)\nos.system(cmd)\nopen(base + name)"),
     (".php", "global $state;\n$GLOBALS['a'] = 1;"),
 ]
 
@@ -98,6 +98,11 @@ def line_smells(spark, d):
     return S.line_smells(_sources(spark, d)).select("id", "line_number", "smell_type", "category", "severity", "matched")
 
 
+def strict_scan(spark, d):
+    """The stricter security rules over all sources."""
+    return S.security_issues(_sources(spark, d), S.STRICT).select("id", "line_number", "severity", "category", "title")
+
+
 def snippet_scan(spark, d):
     """Security rules over the snippets of reported issues, line by line."""
     i = table(spark, d, "security_issues").select("id", "repository_id", F.lit("snippet").alias("path"), F.col("snippet").alias("content")).distinct()
@@ -133,7 +138,7 @@ def dependency_lines(spark, d):
 
 QUERIES = {
     "text_census": text_census, "file_census": file_census, "language_mix": language_mix, "module_types": module_types, "file_priority": file_priority, "scanned_files": scanned_files, "content_hashes": content_hashes,
-    "line_counts": line_counts, "security_scan": security_scan, "snippet_scan": snippet_scan, "line_smells": line_smells, "magic_numbers": magic_numbers, "callback_hell": callback_hell, "promise_chains": promise_chains, "large_matches": large_matches,
+    "line_counts": line_counts, "security_scan": security_scan, "strict_scan": strict_scan, "snippet_scan": snippet_scan, "line_smells": line_smells, "magic_numbers": magic_numbers, "callback_hell": callback_hell, "promise_chains": promise_chains, "large_matches": large_matches,
     "duplication": duplication, "dependency_lines": dependency_lines,
 }
 
@@ -182,6 +187,8 @@ SQL = {
     "security_scan": rf"""with f as (select id, repository_id, path, {_ANY} a from {_SRC} where content is not null and {basename("lower(coalesce(path, ''))")} not in ('requirements.txt', 'package.json')),
  g as (select id, repository_id, path, case when a[len(a)] = '' then a[:len(a) - 1] else a end a from f), l as (select id, repository_id, path, unnest(a) line, unnest(range(1, len(a) + 1)) line_number from g), h as ({_rule_hits(S.SECURITY, 'l', False)})
  select id, repository_id, path, line_number, severity, category, title, case category when 'Secrets' then 'Matched: ' || matched[:15] || '...' when 'Injection' then 'Raw SQL string concatenation parameter executed.' when 'Unsafe APIs' then 'Matched token: ' || matched else 'Matched cipher: ' || matched end evidence, line[:120] snippet from h""",
+    "strict_scan": rf"""with f as (select id, {_ANY} a from {_SRC} where content is not null and {basename("lower(coalesce(path, ''))")} not in ('requirements.txt', 'package.json')), g as (select id, case when a[len(a)] = '' then a[:len(a) - 1] else a end a from f),
+ l as (select id, unnest(a) line, unnest(range(1, len(a) + 1)) line_number from g), h as ({_rule_hits(S.STRICT, 'l', False)}) select id, line_number, severity, category, title from h""",
     "line_smells": f"with l as ({LINES.format(keep='id, extension').replace('repository_files', _SRC)}), h as ({_rule_hits(S.LINE_SMELLS, 'l', True)}) select id, line_number, title as smell_type, category, severity, matched from h",
     "snippet_scan": rf"""with f as (select distinct id, snippet, {ANY_SPLIT.format('snippet')} a from security_issues where snippet is not null), g as (select id, case when a[len(a)] = '' then a[:len(a) - 1] else a end a from f),
  l as (select id, unnest(a) line, unnest(range(1, len(a) + 1)) line_number from g), h as ({_rule_hits(S.SECURITY, 'l', False)})
